@@ -183,6 +183,11 @@ def _limits(df: DataFrame, keys: list[str], value: str, m: int, clamp_k: float |
     )
 
 
+def _own_values(packed: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The points of the pieces as rows, each once."""
+    return packed.select(*keys, F.explode(F.slice("raw", F.lit(1), F.col("own"))).alias(value))
+
+
 def _detect(
     df: DataFrame, keys: list[str], stamp: str, ties: list[str], value: str, row_id: str, threshold: float,
     m: int, clamp_k: float | None, piece_rows: int, slice_seconds: float,
@@ -190,15 +195,20 @@ def _detect(
     """Pieces of every long enough series, their detections, and whether any series has several."""
     series = positions(df.select(*keys, *dict.fromkeys([stamp, *ties, value, row_id])), keys, stamp, ties, slice_seconds)
     packed = pieces(series, keys, value, row_id, m - 1, piece_rows)
-    # Written once: the fold must find plain arrays, or it would build them again at every point.
-    chunks = checkpoint(
-        packed.join(_limits(df, keys, value, m, clamp_k), keys).select(
-            *keys, "piece", "start", "own", "rows", "sigma_all",
+    # The series in order is written once. All that follows reads it and not the input again.
+    packed = checkpoint(
+        packed.select(
+            *keys, "piece", "start", "own",
             F.transform("points", lambda p: p["v"]).alias("raw"),
-            F.transform("points", lambda p: clamp(p["v"], F.col("low"), F.col("high"))).alias("values"),
             F.transform("points", lambda p: p["id"].cast("bigint")).alias("ids"),
         )
     )
+    limits = checkpoint(_limits(_own_values(packed, keys, value), keys, value, m, clamp_k))
+    clamped = F.transform("raw", lambda x: clamp(x, F.col("low"), F.col("high")))
+    # Generated, so that the fold finds a plain array and does not build it again at every point.
+    chunks = packed.join(limits, keys).select(
+        *keys, "piece", "start", "own", "rows", "sigma_all", "raw", "ids", F.explode(F.array(clamped)).alias("values")
+    )
     place = [*keys, "piece"]
 
     def fold(pieces_to_fold):
@@ -298,7 +308,7 @@ def _piece_bases(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
     One row per piece and distinct value: durations of whole seconds keep this far below the row count.
     """
-    own = chunks.select(*keys, "piece", F.explode(F.slice("raw", F.lit(1), F.col("own"))).alias("v"))
+    own = _own_values(chunks, [*keys, "piece"], "v")
     counts = own.groupBy(*keys, "piece", "v").agg(F.count(F.lit(1)).alias("n"))
     span = chunks.groupBy(*keys).agg(F.max("piece").alias("_last"))
     grid = (
@@ -331,10 +341,9 @@ def shift_report(
     place = [*keys, "piece"]
     hit = found.filter(F.size("hits") > 0).select(*place, "hits")
     # Distinct values and their counts per series: bounded by the range of whole-second durations.
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), "n")))
-    totals = (
-        histogram(df, keys, value)
-        .join(hit.select(*keys).distinct(), keys, "left_semi")
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n")))
+    totals = checkpoint(
+        histogram(_own_values(chunks.join(hit.select(*keys).distinct(), keys, "left_semi"), keys, value), keys, value)
         .groupBy(*keys)
         .agg(pairs.alias("_h"))
         .select(*keys, F.transform("_h", lambda x: x["v"]).alias("domain"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from runlens.functions.durations import micros
 from runlens.functions.names import stage_label
 from runlens.operators.quantiles import histogram, percentile_of
+from runlens.session import checkpoint
 
 GAP_S = 30.0
 MIN_RUNS = 5
@@ -39,7 +40,10 @@ def _staged_jobs(facts: DataFrame, gap_s: float) -> DataFrame:
 
 
 def detect_stages(facts: DataFrame, gap_s: float = GAP_S) -> DataFrame:
-    """One row per (run, stage): name, number of jobs, start-to-end seconds."""
+    """One row per (run, stage): name, number of jobs, their distinct names, start-to-end seconds.
+
+    The distinct names are those a workflow defines, however many jobs a run has.
+    """
     keys = ["workflow_id", "run_id", "stage"]
     staged = _staged_jobs(facts, gap_s)
     order = Window.partitionBy(*keys).orderBy("_start", "job_id")
@@ -56,6 +60,7 @@ def detect_stages(facts: DataFrame, gap_s: float = GAP_S) -> DataFrame:
             F.count(F.lit(1)).alias("jobs"),
             F.min("job").alias("_low"),
             F.max("job").alias("_high"),
+            F.array_sort(F.collect_set("job")).alias("job_names"),
             ((F.max("_end") - F.min("_start")) / 1e6).alias("stage_s"),
         )
         .join(firsts, keys)
@@ -75,14 +80,24 @@ def _wall_and_sum(runs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _typical(measured: DataFrame) -> DataFrame:
-    wall = histogram(measured, ["workflow_id"], "wall_s").groupBy("workflow_id").agg(
-        F.sum("n").alias("total_runs"), percentile_of("wall_s", 50).alias("wall_median")
-    )
-    work = histogram(measured, ["workflow_id"], "job_sum_s").groupBy("workflow_id").agg(
-        percentile_of("job_sum_s", 50).alias("job_sum_median")
+    """Medians of both measures from one pass over the runs."""
+    both = measured.select("workflow_id", F.expr("stack(2, 'wall', wall_s, 'work', job_sum_s) as (_of, _s)"))
+    medians = (
+        histogram(both, ["workflow_id", "_of"], "_s")
+        .groupBy("workflow_id", "_of")
+        .agg(F.sum("n").alias("_n"), percentile_of("_s", 50).alias("_median"))
     )
     saved = F.greatest(1 - F.col("wall_median") / F.col("job_sum_median"), F.lit(0.0))
-    return wall.filter(F.col("total_runs") >= MIN_RUNS).join(work, "workflow_id").withColumn("parallelism", saved)
+    return (
+        medians.groupBy("workflow_id")
+        .agg(
+            F.max("_n").alias("total_runs"),
+            F.max(F.when(F.col("_of") == "wall", F.col("_median"))).alias("wall_median"),
+            F.max(F.when(F.col("_of") == "work", F.col("_median"))).alias("job_sum_median"),
+        )
+        .filter(F.col("total_runs") >= MIN_RUNS)
+        .withColumn("parallelism", saved)
+    )
 
 
 def parallelism(runs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -111,19 +126,19 @@ def stage_structure(runs: DataFrame, facts: DataFrame, gap_s: float = GAP_S) ->
     One row per stage; ``critical`` marks the longest one, ``sequential`` all but the first.
     """
     by_workflow = ["workflow_id"]
-    measured = _wall_and_sum(runs, facts)
+    measured = checkpoint(_wall_and_sum(runs, facts))
     typical = _typical(measured).join(stage_gate(runs, facts).select("workflow_id"), by_workflow, "left_semi")
-    found = detect_stages(facts, gap_s)
+    # Three uses below; written once, as it takes several shuffles to make.
+    found = checkpoint(detect_stages(facts, gap_s))
     in_scope = found.join(measured.select("run_id"), "run_id", "left_semi")
     medians = histogram(in_scope, ["workflow_id", "name"], "stage_s").groupBy("workflow_id", "name").agg(
         percentile_of("stage_s", 50).alias("stage_median")
     )
     members = (
-        _staged_jobs(facts, gap_s)
-        .select("run_id", "stage", "job")
-        .join(in_scope.select("workflow_id", "run_id", "stage", "name"), ["run_id", "stage"])
-        .groupBy("workflow_id", "name", "job")
+        in_scope.groupBy("workflow_id", "name", "job_names")
         .agg(F.first(F.lit(1)).alias("_one"))
+        .select("workflow_id", "name", F.explode("job_names").alias("job"))
+        .distinct()
         .groupBy("workflow_id", "name")
         .agg(F.array_sort(F.collect_list("job")).alias("jobs"))
     )

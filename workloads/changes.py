@@ -121,7 +121,10 @@ def samples(s, d):
     return s.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderpriority", "o_totalprice")
 
 
-_URGENT = F.col("o_orderpriority") < "3"
+def _urgent():
+    return F.col("o_orderpriority") < "3"
+
+
 RANKS = """
 WITH ranked AS (SELECT o_custkey, o_orderpriority < '3' AS first,
     rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_custkey, o_totalprice) - 1) / 2 AS mid FROM orders),
@@ -136,12 +139,12 @@ ways AS (SELECT n, k AS n1, least(s - k * (k + 1) / 2, k * (n - k) - (s - k * (k
 exact AS (SELECT n, n1, u, sum(c) OVER (PARTITION BY n, n1 ORDER BY u) / sum(c) OVER (PARTITION BY n, n1) AS p FROM ways)
 """
 
-Q["f3_rank_sum_u"] = lambda s, d: rank_test.rank_sum_u(samples(s, d), ["o_custkey"], _URGENT, "o_totalprice").select("o_custkey", "n1", "n2", r4("u", "u"))
+Q["f3_rank_sum_u"] = lambda s, d: rank_test.rank_sum_u(samples(s, d), ["o_custkey"], _urgent(), "o_totalprice").select("o_custkey", "n1", "n2", r4("u", "u"))
 O["f3_rank_sum_u"] = RANKS + "SELECT o_custkey, n1, n2, round(CAST(u AS DOUBLE), 4) AS u FROM us"
 
 
 def _f4(s, d):
-    found = rank_test.rank_sum_test(samples(s, d), ["o_custkey"], _URGENT, "o_totalprice")
+    found = rank_test.rank_sum_test(samples(s, d), ["o_custkey"], _urgent(), "o_totalprice")
     exact = F.when(F.col("method").isin("exact", "none"), F.round("p_value", 6))
     return found.select("o_custkey", "n1", "n2", "method", exact.alias("p_value"))
 
@@ -195,14 +198,14 @@ def points(s, d):
 def _measured(df, *keys):
     return df.select(
         *keys, "idx", "n_before", "n_after", "direction", "method", "persistence", "post_runs",
-        *[r4(c, c) for c in ("before_mean", "after_mean", "pct_change", "u", "overlap", "post_cv")],
+        *[F.round(c, 6).alias(c) for c in ("before_mean", "after_mean", "pct_change", "u", "overlap", "post_cv")],
         F.when(F.col("method") == "normal", F.round("p_value", 6)).alias("p_value"),
     )
 
 
-_MEASURED = """idx, n1 AS n_before, n2 AS n_after, direction, method, persistence, post_runs, round(before_mean, 4) AS before_mean,
-  round(after_mean, 4) AS after_mean, round(pct_change, 4) AS pct_change, round(CAST(u AS DOUBLE), 4) AS u, round(overlap, 4) AS overlap,
-  round(post_cv, 4) AS post_cv, CASE WHEN method = 'normal' THEN round(normal_p, 6) END AS p_value"""
+_MEASURED = """idx, n1 AS n_before, n2 AS n_after, direction, method, persistence, post_runs, round(before_mean, 6) AS before_mean,
+  round(after_mean, 6) AS after_mean, round(pct_change, 6) AS pct_change, round(CAST(u AS DOUBLE), 6) AS u, round(overlap, 6) AS overlap,
+  round(post_cv, 6) AS post_cv, CASE WHEN method = 'normal' THEN round(normal_p, 6) END AS p_value"""
 
 Q["f8_shift_report_events"] = lambda s, d: _measured(
     shifts.shift_report(events(s, d), ["event_type"], "ts", ["event_id"], "value", "event_id"), "event_type"
