@@ -62,28 +62,19 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _job_seconds(line: int) -> Column:
-    q, workflow, day = F.col(f"q{line}"), F.col("workflow_id"), F.col("order_date")
-    seconds = 60 + 12 * q
-    seconds = F.when(F.col("run_id") % 97 == 0, seconds * 6).otherwise(seconds)
-    if line == 1:
-        seconds = F.when((workflow == 2) & (day >= "2000-06-01"), seconds * 2).otherwise(seconds)
-    elif line == 4:
-        seconds = F.when((workflow == 3) & (day >= "1999-01-01"), F.floor(seconds / 2)).otherwise(seconds)
-    elif line == 6:
-        seconds = seconds * 3
-        seconds = F.when((workflow == 1) & (day >= "1998-06-01"), F.floor(seconds * 3 / 2)).otherwise(seconds)
-    elif line == 7:
-        seconds = F.floor(seconds / 5)
-    return seconds.cast("int")
-
-
-def _runs_with_lines(spark: SparkSession, folder: str, how: str) -> DataFrame:
-    wide = _orders(spark, folder).join(_lines(spark, folder), "run_id", how)
-    return wide.select(
-        *[c for c in wide.columns if not c.startswith("q")],
-        *[_job_seconds(n).alias(f"d{n}") for n in LINES],
+def _job_seconds() -> Column:
+    """Seconds of a job by its ``line`` and quantity ``q``, with outliers and level shifts."""
+    line, workflow, day = F.col("line"), F.col("workflow_id"), F.col("order_date")
+    seconds = (60 + 12 * F.col("q")) * F.when(F.col("run_id") % 97 == 0, 6).otherwise(1)
+    factor = (
+        F.when((line == 1) & (workflow == 2) & (day >= "2000-06-01"), 2.0)
+        .when((line == 4) & (workflow == 3) & (day >= "1999-01-01"), 0.5)
+        .when((line == 6) & (workflow == 1) & (day >= "1998-06-01"), 4.5)
+        .when(line == 6, 3.0)
+        .when(line == 7, 0.2)
+        .otherwise(1.0)
     )
+    return F.floor(seconds * factor).cast("int")
 
 
 def _run_columns(updated) -> list:
@@ -108,11 +99,11 @@ def _run_columns(updated) -> list:
 
 def runs(spark: SparkSession, folder: str, with_updated: bool = False) -> DataFrame:
     """Latest attempt of every run. ``updated_at`` needs the jobs, so it is NULL unless asked for."""
+    listed = _orders(spark, folder)
     if not with_updated:
-        return _orders(spark, folder).select(*_run_columns(F.lit(None).cast("timestamp_ntz")))
-    wide = _runs_with_lines(spark, folder, "left")
-    ends = [_later(F.col("started_at"), F.col(f"d{n}") + START_OFFSETS[n - 1] + 30) for n in LINES]
-    return wide.select(*_run_columns(F.greatest(*ends)))
+        return listed.select(*_run_columns(F.lit(None).cast("timestamp_ntz")))
+    last = jobs(spark, folder).groupBy("run_id").agg(F.max("completed_at").alias("last_end"))
+    return listed.join(last, "run_id", "left").select(*_run_columns(_later(F.col("last_end"), F.lit(30))))
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,13 +120,13 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, folder: str) -> DataFrame:
-    wide = _runs_with_lines(spark, folder, "inner")
-    last = F.greatest(*[F.when(F.col(f"d{n}").isNotNull(), n) for n in LINES])
-    present = F.filter(
-        F.array(*[F.struct(F.lit(n).alias("line"), F.col(f"d{n}").alias("seconds")) for n in LINES]),
-        lambda x: x["seconds"].isNotNull(),
-    )
-    each = wide.select("run_id", "conclusion", "started_at", last.alias("last"), F.inline(present))
+    wide = _orders(spark, folder).join(_lines(spark, folder), "run_id")
+    last = F.greatest(*[F.when(F.col(f"q{n}").isNotNull(), n) for n in LINES])
+    pairs = ", ".join(f"{n}, q{n}" for n in LINES)
+    each = wide.select(
+        "run_id", "workflow_id", "order_date", "conclusion", "started_at", last.alias("last"),
+        F.expr(f"stack({len(LINES)}, {pairs}) as (line, q)"),
+    ).filter("q is not null").withColumn("seconds", _job_seconds())
     line = F.col("line")
     labels = F.element_at(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in LABELS]), line)
     start = _later(F.col("started_at"), _nth([F.lit(x) for x in START_OFFSETS], line))
