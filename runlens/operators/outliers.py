@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.grading import rank_severity, severity_of_order, severity_order
 from runlens.operators.prep import with_workflow_name
-from runlens.operators.quantiles import below_counts, histogram, percentile_of
+from runlens.operators.quantiles import below_counts, histogram, percentiles_of_histogram
 
 MIN_ROWS = 5
 
@@ -29,42 +29,42 @@ def percentile_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.join(ranks.select(*keys, value, share.alias("rank")), [*keys, value])
 
 
-def log_iqr_outliers(df: DataFrame, keys: list[str], value: str, k: float = 1.5) -> DataFrame:
+def log_iqr_outliers(
+    df: DataFrame, keys: list[str], value: str, k: float = 1.5, bounded: bool = True
+) -> DataFrame:
     """Rows above the upper quartile fence of the logarithms, with ``fence`` and ``rank``."""
     v = F.col(value)
     hist = histogram(df, keys, value)
-    log = F.when(v > 0, F.log(v))
-    limits = (
-        hist.withColumn("_log", log)
-        .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("_rows"),
-            F.sum(F.when(v > 0, F.col("n"))).alias("_positive"),
-            percentile_of("_log", [25, 75]).alias("_q"),
-        )
+    counts = (
+        hist.groupBy(*keys)
+        .agg(F.sum("n").alias("_rows"), F.sum(F.when(v > 0, F.col("n"))).alias("_positive"))
         .filter((F.col("_rows") >= MIN_ROWS) & (F.col("_positive") >= MIN_ROWS))
-        .withColumn("_limit", F.col("_q")[1] + k * (F.col("_q")[1] - F.col("_q")[0]))
+    )
+    logs = hist.filter(v > 0).withColumn("_log", F.log(v))
+    limits = (
+        percentiles_of_histogram(logs, keys, "_log", {"_q1": 25, "_q3": 75}, bounded)
+        .join(counts, keys)
+        .withColumn("_limit", F.col("_q3") + k * (F.col("_q3") - F.col("_q1")))
         .select(*keys, "_limit", F.exp("_limit").alias("fence"))
     )
     slow = _rank_of(hist, keys, value, limits, (v > 0) & (F.log(v) > F.col("_limit"))).drop("_limit")
     return df.join(slow, [*keys, value])
 
 
-def mad_outliers(df: DataFrame, keys: list[str], value: str, threshold: float = 3.5) -> DataFrame:
+def mad_outliers(
+    df: DataFrame, keys: list[str], value: str, threshold: float = 3.5, bounded: bool = True
+) -> DataFrame:
     """Rows whose distance above the median exceeds ``threshold`` scaled median deviations."""
     v = F.col(value)
     hist = histogram(df, keys, value)
+    counts = hist.groupBy(*keys).agg(F.sum("n").alias("_rows")).filter(F.col("_rows") >= MIN_ROWS)
     medians = (
-        hist.groupBy(*keys)
-        .agg(F.sum("n").alias("_rows"), percentile_of(value, 50).alias("_median"))
-        .filter(F.col("_rows") >= MIN_ROWS)
-        .drop("_rows")
+        percentiles_of_histogram(hist, keys, value, {"_median": 50}, bounded).join(counts, keys).drop("_rows")
     )
+    distances = hist.join(medians, keys).withColumn("_distance", F.abs(v - F.col("_median")))
     spread = (
-        hist.join(medians, keys)
-        .withColumn("_distance", F.abs(v - F.col("_median")))
-        .groupBy(*keys)
-        .agg(F.max("_median").alias("_median"), percentile_of("_distance", 50).alias("_mad"))
+        percentiles_of_histogram(distances, keys, "_distance", {"_mad": 50}, bounded)
+        .join(medians, keys)
         .filter(F.col("_mad") > 0)
     )
     score = (v - F.col("_median")) / (1.4826 * F.col("_mad"))
@@ -72,13 +72,13 @@ def mad_outliers(df: DataFrame, keys: list[str], value: str, threshold: float =
     return df.join(slow.withColumn("score", score).drop("_median", "_mad"), [*keys, value])
 
 
-def clamp_limits(hist: DataFrame, keys: list[str], value: str, k: float) -> DataFrame:
+def clamp_limits(hist: DataFrame, keys: list[str], value: str, k: float, bounded: bool = True) -> DataFrame:
     """``low`` and ``high`` per key; NULL where fewer than five rows or no spread forbid clamping."""
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    q1, q3 = F.col("_q1"), F.col("_q3")
     usable = (F.col("_rows") >= MIN_ROWS) & (q3 > q1)
     return (
-        hist.groupBy(*keys)
-        .agg(F.sum("n").alias("_rows"), percentile_of(value, [25, 75]).alias("_q"))
+        percentiles_of_histogram(hist, keys, value, {"_q1": 25, "_q3": 75}, bounded)
+        .join(hist.groupBy(*keys).agg(F.sum("n").alias("_rows")), keys)
         .select(
             *keys,
             F.when(usable, q1 - k * (q3 - q1)).alias("low"),
@@ -91,9 +91,9 @@ def clamp(v, low, high):
     return F.when(v > high, high).when(v < low, low).otherwise(v)
 
 
-def clamp_outliers(df: DataFrame, keys: list[str], value: str, k: float = 4.0) -> DataFrame:
+def clamp_outliers(df: DataFrame, keys: list[str], value: str, k: float = 4.0, bounded: bool = True) -> DataFrame:
     """Adds ``clamped``: the value limited to the quartile fences of its key."""
-    limits = clamp_limits(histogram(df, keys, value), keys, value, k)
+    limits = clamp_limits(histogram(df, keys, value), keys, value, k, bounded)
     return (
         df.join(limits, keys, "left")
         .withColumn("clamped", clamp(F.col(value), F.col("low"), F.col("high")))

@@ -3,7 +3,8 @@
 Values are first counted per (keys, value). That aggregation combines on the map side and is spread by
 value as well as key, so a key holding most of the rows is no hot spot. What follows works on distinct
 values only. A duration of whole seconds has at most as many distinct values as the longest job has
-seconds, however many runs there are; :func:`sliced_percentiles` serves series without such a bound.
+seconds, however many runs there are; :func:`sliced_percentiles` (``bounded=False``) serves series without
+such a bound.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,59 +23,83 @@ def percentile_of(value: str, points: list[float] | float, n: str = "n") -> Colu
     return F.percentile(value, F.lit(points / 100), F.col(n))
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Interpolated percentiles per key, one column per entry of ``points``."""
-    hist = histogram(df, keys, value)
+def percentiles(
+    df: DataFrame, keys: list[str], value: str, points: dict[str, float], bounded: bool = True
+) -> DataFrame:
+    """Interpolated percentiles per key, one column per entry of ``points``.
+
+    ``bounded`` says that a key's distinct values fit in one task, as those of durations do.
+    """
+    return percentiles_of_histogram(histogram(df, keys, value), keys, value, points, bounded)
+
+
+def percentiles_of_histogram(
+    hist: DataFrame, keys: list[str], value: str, points: dict[str, float], bounded: bool = True
+) -> DataFrame:
+    if not bounded:
+        return sliced_percentiles(hist, keys, value, points)
     found = hist.groupBy(*keys).agg(percentile_of(value, list(points.values())).alias("_p"))
     return found.select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(points)])
 
 
-def sliced_percentiles(
-    df: DataFrame, keys: list[str], value: str, points: dict[str, float], per_octave: int = 64
-) -> DataFrame:
-    """Interpolated percentiles per key when distinct values may be as many as rows.
+PER_E_FOLD = 64
+
+
+def _slice_of(value: Column, per_e_fold: int) -> Column:
+    """Number of the slice of a value. Slices keep the order of the values, ``per_e_fold`` for each e-fold."""
+    size = F.floor(F.log1p(F.abs(value)) * per_e_fold)
+    return F.when(value < 0, -1 - size).otherwise(size)
+
 
-    Values go to slices that keep their order (``per_octave`` slices per e-fold of size), slice totals give
-    the slice of each wanted position, and only rows of those slices are ranked.
+def _slice_totals(sliced: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each slice (``_in``), of all lower slices (``_below``) and of the key (``_n``).
+
+    A key has a few thousand slices at most: that many e-folds a double has, and no more.
     """
-    v = F.col(value)
-    size = F.floor(F.log1p(F.abs(v)) * per_octave)
-    hist = histogram(df, keys, value).withColumn("_slice", F.when(v < 0, -1 - size).otherwise(size))
     by_key = Window.partitionBy(*keys)
-    totals = (
-        hist.groupBy(*keys, "_slice")
+    return (
+        sliced.groupBy(*keys, "_slice")
         .agg(F.sum("n").alias("_in"))
         .withColumn("_n", F.sum("_in").over(by_key))
         .withColumn("_below", F.sum("_in").over(by_key.orderBy("_slice")) - F.col("_in"))
     )
-    wanted = totals.select(
-        *keys, "_slice", "_n", "_below", "_in",
-        F.explode(F.array(*[F.lit(p / 100) for p in dict.fromkeys(points.values())])).alias("_p"),
-    ).withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
+
+
+def sliced_percentiles(
+    hist: DataFrame, keys: list[str], value: str, points: dict[str, float], per_e_fold: int = PER_E_FOLD
+) -> DataFrame:
+    """Interpolated percentiles of a histogram whose distinct values may be as many as its rows.
+
+    Values go to slices that keep their order, slice totals give the slice of each wanted position, and only
+    the values of those slices are ranked.
+    """
+    v = F.col(value)
+    sliced = hist.filter(v.isNotNull()).withColumn("_slice", _slice_of(v, per_e_fold))
+    wanted = (
+        _slice_totals(sliced, keys)
+        .withColumn("_p", F.explode(F.array(*[F.lit(p / 100) for p in dict.fromkeys(points.values())])))
+        .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
+    )
     end = F.col("_below") + F.col("_in")
     # A position may fall between the last row of one slice and the first of the next: keep both.
     wanted = wanted.filter((F.col("_pos") < end) & (F.ceil("_pos") >= F.col("_below")))
     targets = wanted.groupBy(*keys, "_slice", "_n", "_below").agg(F.collect_set("_p").alias("_points"))
+    # Counted by row: derived values such as distances may repeat, and equal ones may come in any order.
+    running = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        hist.join(targets, [*keys, "_slice"])
-        .withColumn("_last", F.col("_below") + F.sum("n").over(Window.partitionBy(*keys, "_slice").orderBy(value)) - 1)
+        sliced.join(targets, [*keys, "_slice"])
+        .withColumn("_last", F.col("_below") + F.sum("n").over(running) - 1)
         .withColumn("_first", F.col("_last") - F.col("n") + 1)
     )
     hits = ranked.select(*keys, value, "_first", "_last", "_n", F.explode("_points").alias("_p"))
     pos = F.col("_p") * (F.col("_n") - 1)
-    holds = lambda at: (F.col("_first") <= at) & (at <= F.col("_last"))
-    # Interpolate with the weight of each end, which is how the built-in exact percentile rounds.
-    low, high = F.floor(pos), F.ceil(pos)
-    ends = (
-        hits.groupBy(*keys, "_p")
-        .agg(
-            F.max(F.when(holds(low), v)).alias("_lo"),
-            F.max(F.when(holds(high), v)).alias("_hi"),
-            F.max(F.col("_n")).alias("_n"),
-        )
-        .withColumn("_frac", pos - F.floor(pos))
-        .withColumn("_q", F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo")))
-    )
+
+    def at(place):
+        return F.max(F.when((F.col("_first") <= place) & (place <= F.col("_last")), v))
+
+    ends = hits.groupBy(*keys, "_p", "_n").agg(at(F.floor(pos)).alias("_lo"), at(F.ceil(pos)).alias("_hi"))
+    between = F.col("_lo") + (pos - F.floor(pos)) * (F.col("_hi") - F.col("_lo"))
+    ends = ends.withColumn("_q", between)
     return ends.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_p") == F.lit(p / 100), F.col("_q"))).alias(name) for name, p in points.items()]
     )
@@ -91,14 +116,22 @@ def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    q = percentiles(df, keys, value, {"q1": 25, "q3": 75})
+def quartiles(df: DataFrame, keys: list[str], value: str, bounded: bool = True) -> DataFrame:
+    q = percentiles(df, keys, value, {"q1": 25, "q3": 75}, bounded)
     return q.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def below_counts(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds to a histogram the key's row count and how many of its rows have a smaller value."""
-    by_key = Window.partitionBy(*keys)
-    return hist.withColumn("total", F.sum("n").over(by_key)).withColumn(
-        "below", F.sum("n").over(by_key.orderBy(value)) - F.col("n")
+def below_counts(hist: DataFrame, keys: list[str], value: str, per_e_fold: int = PER_E_FOLD) -> DataFrame:
+    """Adds to a histogram the key's row count and how many of its rows have a smaller value.
+
+    Values are counted within slices and the rows of lower slices added, so no task sees a whole key.
+    """
+    sliced = hist.withColumn("_slice", _slice_of(F.col(value), per_e_fold))
+    totals = _slice_totals(sliced, keys).select(*keys, "_slice", F.col("_below"), F.col("_n").alias("total"))
+    in_slice = Window.partitionBy(*keys, "_slice").orderBy(value)
+    return (
+        sliced.withColumn("_upto", F.sum("n").over(in_slice))
+        .join(totals, [*keys, "_slice"])
+        .withColumn("below", F.col("_below") + F.col("_upto") - F.col("n"))
+        .drop("_slice", "_upto", "_below")
     )

@@ -60,7 +60,7 @@ def _exact_shares() -> pd.DataFrame:
 
 
 def exact_table(spark: SparkSession) -> DataFrame:
-    """Lookup (n1, n2, u_floor) -> exact_p: a fixed 4,000-odd rows, whatever the data."""
+    """Lookup (n1, n2, u_floor) -> exact_p: a fixed 3,820 rows, whatever the data."""
     schema = "n1 bigint, n2 bigint, u_floor bigint, exact_p double"
     return spark.createDataFrame(_exact_shares(), schema)
 

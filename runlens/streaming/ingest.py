@@ -1,6 +1,6 @@
 """Incremental ingest: new listing pages become the next version of the stored tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.sources.json_pages import JOB_PAGE, RUN_PAGE, jobs_of_pages, runs_of_pages
@@ -9,12 +9,10 @@ from runlens.sources.tables import TABLES, load_tables, save_tables, upsert_runs
 PAGE = f"{RUN_PAGE}, {JOB_PAGE.removeprefix('total_count bigint, ')}"
 
 
-def _latest(runs: DataFrame) -> DataFrame:
-    """One row per run of a batch: its highest attempt, then its last update."""
-    order = F.struct("run_attempt", "updated_at")
-    return runs.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in runs.columns if c != "run_id"]), order).alias("r")).select(
-        "run_id", "r.*"
-    ).select(*runs.columns)
+def _latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """One row per key of a batch, the first in ``order``; the rank limit applies before the shuffle too."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def _version_path(store: str, version: int) -> str:
@@ -48,9 +46,10 @@ def save_batch(pages: DataFrame, batch: int, store: str) -> None:
     """
     spark = pages.sparkSession
     current = read_store(spark, store)
-    runs = _latest(runs_of_pages(pages))
+    ended = F.col("completed_at").desc_nulls_last()
+    runs = _latest(runs_of_pages(pages), ["run_id"], F.col("run_attempt").desc(), F.col("updated_at").desc_nulls_last())
     jobs, steps = jobs_of_pages(pages)
-    jobs, steps = jobs.dropDuplicates(["job_id"]), steps.dropDuplicates(["job_id", "number"])
+    jobs, steps = _latest(jobs, ["job_id"], ended), _latest(steps, ["job_id", "number"], ended)
     merged = upsert_runs((current["runs"], current["jobs"], current["steps"]), (runs, jobs, steps))
     version = (latest_version(spark, store) or 0) + 1
     save_tables(*merged, _version_path(store, version))

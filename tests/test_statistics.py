@@ -16,8 +16,8 @@ def keyed(spark, groups):
 def test_percentiles(spark):
     df = keyed(spark, {"a": range(1, 11), "b": [7]})
     points = {"p50": 50, "p95": 95, "q1": 25, "q3": 75}
-    for find in (quantiles.percentiles, quantiles.sliced_percentiles):
-        rows = {r["k"]: r for r in find(df, ["k"], "v", points).collect()}
+    for bounded in (True, False):
+        rows = {r["k"]: r for r in quantiles.percentiles(df, ["k"], "v", points, bounded).collect()}
         assert [round(rows["a"][p], 6) for p in points] == [5.5, 9.55, 3.25, 7.75]
         assert [rows["b"][p] for p in points] == [7.0] * 4
 
@@ -26,7 +26,8 @@ def test_sliced_percentiles_match_numpy(spark):
     rng = np.random.default_rng(5)
     groups = {"wide": rng.normal(0, 1e4, 997), "tail": np.exp(rng.normal(0, 3, 500)), "ties": rng.integers(0, 3, 300), "narrow": 1e6 + rng.random(200)}
     points = {f"p{p}": p for p in (0, 1, 25, 50, 90, 99, 100)}
-    for r in quantiles.sliced_percentiles(keyed(spark, groups), ["k"], "v", points, per_octave=4).collect():
+    hist = quantiles.histogram(keyed(spark, groups), ["k"], "v")
+    for r in quantiles.sliced_percentiles(hist, ["k"], "v", points, per_e_fold=4).collect():
         for name, p in points.items():
             assert r[name] == pytest.approx(np.percentile(groups[r["k"]].astype(float), p), rel=1e-12)
 
@@ -35,7 +36,8 @@ def test_outliers(spark):
     near = [95 + i % 11 for i in range(20)]
     df = keyed(spark, {"one": [*near, 500], "same": [5] * 30, "few": [1, 1, 1, 900], "fast": [*near, 1], "zero": [0, 0, 0, 0, *near[:4]]})
     for find in (outliers.log_iqr_outliers, outliers.mad_outliers):
-        assert [(r["k"], r["v"]) for r in find(df, ["k"], "v").collect()] == [("one", 500.0)]
+        for bounded in (True, False):
+            assert [(r["k"], r["v"]) for r in find(df, ["k"], "v", bounded=bounded).collect()] == [("one", 500.0)]
     ranks = outliers.percentile_rank(keyed(spark, {"a": range(1, 11)}), ["k"], "v").collect()
     assert {r["v"]: r["rank"] for r in ranks if r["v"] in (1.0, 10.0)} == {1.0: 0.0, 10.0: 90.0}
 

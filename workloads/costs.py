@@ -107,7 +107,7 @@ Q["d10_runner_sizing"] = lambda s, d: runners.by_issue(runners.runner_sizing(fac
 )
 O["d10_runner_sizing"] = sql(SIZING + "SELECT workflow_id, job, runner_label, runs, cores, issue, round(median, 4) AS median FROM sizing WHERE issue IS NOT NULL")
 
-Q["e1_log_iqr_events"] = lambda s, d: outliers.log_iqr_outliers(events(s, d), ["event_type"], "value", 0.75).select(
+Q["e1_log_iqr_events"] = lambda s, d: outliers.log_iqr_outliers(events(s, d), ["event_type"], "value", 0.75, bounded=False).select(
     "event_id", "event_type", r4("value", "value"), r4("fence", "fence"), r4("rank", "rank")
 )
 O["e1_log_iqr_events"] = """
@@ -119,7 +119,7 @@ SELECT event_id, event_type, round(value, 4) AS value, round(exp(q3 + 0.75 * (q3
 FROM r JOIN q USING (event_type) WHERE n >= 5 AND pos >= 5 AND value > 0 AND ln(CASE WHEN value > 0 THEN value ELSE 1 END) > q3 + 0.75 * (q3 - q1)
 """.replace("ln(value)", "ln(CASE WHEN value > 0 THEN value ELSE 1 END)")
 
-Q["e2_mad_events"] = lambda s, d: outliers.mad_outliers(events(s, d), ["event_type"], "value").select(
+Q["e2_mad_events"] = lambda s, d: outliers.mad_outliers(events(s, d), ["event_type"], "value", bounded=False).select(
     "event_id", "event_type", r4("score", "score"), r4("rank", "rank")
 )
 O["e2_mad_events"] = """
@@ -134,7 +134,7 @@ Q["e3_percentile_rank"] = lambda s, d: outliers.percentile_rank(events(s, d), ["
 O["e3_percentile_rank"] = """SELECT event_id, round((rank() OVER (PARTITION BY event_type ORDER BY value) - 1)
   / count(*) OVER (PARTITION BY event_type) * 100, 4) AS rank FROM events"""
 
-Q["e4_clamp_events"] = lambda s, d: outliers.clamp_outliers(events(s, d), ["event_type"], "value", 1.0).select("event_id", r4("clamped", "clamped"))
+Q["e4_clamp_events"] = lambda s, d: outliers.clamp_outliers(events(s, d), ["event_type"], "value", 1.0, bounded=False).select("event_id", r4("clamped", "clamped"))
 O["e4_clamp_events"] = """
 WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)
 SELECT event_id, round(least(greatest(value, q1 - (q3 - q1)), q3 + (q3 - q1)), 4) AS clamped FROM events JOIN q USING (event_type)

@@ -16,8 +16,8 @@ _POINTS_SQL = """round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_con
 Q["c1_percentiles_events"] = lambda s, d: quantiles.percentiles(events(s, d), ["event_type"], "value", POINTS).select(
     "event_type", *[r4(p, p) for p in POINTS]
 )
-Q["c1_sliced_percentiles_events"] = lambda s, d: quantiles.sliced_percentiles(
-    events(s, d), ["event_type"], "value", POINTS
+Q["c1_sliced_percentiles_events"] = lambda s, d: quantiles.percentiles(
+    events(s, d), ["event_type"], "value", POINTS, bounded=False
 ).select("event_type", *[r4(p, p) for p in POINTS])
 O["c1_percentiles_events"] = O["c1_sliced_percentiles_events"] = (
     f"SELECT event_type, {_POINTS_SQL} FROM events GROUP BY event_type"
@@ -26,7 +26,7 @@ O["c1_percentiles_events"] = O["c1_sliced_percentiles_events"] = (
 
 def _c2(s, d):
     e = events(s, d)
-    both = quantiles.spread(e, ["event_type"], "value").join(quantiles.quartiles(e, ["event_type"], "value"), "event_type")
+    both = quantiles.spread(e, ["event_type"], "value").join(quantiles.quartiles(e, ["event_type"], "value", bounded=False), "event_type")
     return both.select("event_type", "count", *[r4(c, c) for c in ("mean", "stddev", "q1", "q3", "iqr")])
 
 
