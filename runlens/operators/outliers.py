@@ -10,11 +10,11 @@ from runlens.operators.quantiles import below_counts, histogram, percentiles_of_
 MIN_ROWS = 5
 
 
-def _rank_of(hist: DataFrame, keys: list[str], value: str, limits: DataFrame, slow) -> DataFrame:
+def _rank_of(hist: DataFrame, keys: list[str], value: str, limits: DataFrame, slow, bounded: bool) -> DataFrame:
     """Slow values of a histogram with the share of the key's rows that are smaller."""
     share = F.col("below") / F.col("total") * 100
     return (
-        below_counts(hist, keys, value)
+        below_counts(hist, keys, value, bounded)
         .join(limits, keys)
         .filter(slow)
         .withColumn("rank", share)
@@ -22,9 +22,9 @@ def _rank_of(hist: DataFrame, keys: list[str], value: str, limits: DataFrame, sl
     )
 
 
-def percentile_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def percentile_rank(df: DataFrame, keys: list[str], value: str, bounded: bool = True) -> DataFrame:
     """Adds ``rank``: the share, in percent, of the key's rows with a smaller value."""
-    ranks = below_counts(histogram(df, keys, value), keys, value)
+    ranks = below_counts(histogram(df, keys, value), keys, value, bounded)
     share = F.col("below") / F.col("total") * 100
     return df.join(ranks.select(*keys, value, share.alias("rank")), [*keys, value])
 
@@ -35,19 +35,14 @@ def log_iqr_outliers(
     """Rows above the upper quartile fence of the logarithms, with ``fence`` and ``rank``."""
     v = F.col(value)
     hist = histogram(df, keys, value)
-    counts = (
-        hist.groupBy(*keys)
-        .agg(F.sum("n").alias("_rows"), F.sum(F.when(v > 0, F.col("n"))).alias("_positive"))
-        .filter((F.col("_rows") >= MIN_ROWS) & (F.col("_positive") >= MIN_ROWS))
-    )
     logs = hist.filter(v > 0).withColumn("_log", F.log(v))
     limits = (
         percentiles_of_histogram(logs, keys, "_log", {"_q1": 25, "_q3": 75}, bounded)
-        .join(counts, keys)
+        .filter(F.col("rows") >= MIN_ROWS)
         .withColumn("_limit", F.col("_q3") + k * (F.col("_q3") - F.col("_q1")))
         .select(*keys, "_limit", F.exp("_limit").alias("fence"))
     )
-    slow = _rank_of(hist, keys, value, limits, (v > 0) & (F.log(v) > F.col("_limit"))).drop("_limit")
+    slow = _rank_of(hist, keys, value, limits, (v > 0) & (F.log(v) > F.col("_limit")), bounded).drop("_limit")
     return df.join(slow, [*keys, value])
 
 
@@ -57,33 +52,28 @@ def mad_outliers(
     """Rows whose distance above the median exceeds ``threshold`` scaled median deviations."""
     v = F.col(value)
     hist = histogram(df, keys, value)
-    counts = hist.groupBy(*keys).agg(F.sum("n").alias("_rows")).filter(F.col("_rows") >= MIN_ROWS)
-    medians = (
-        percentiles_of_histogram(hist, keys, value, {"_median": 50}, bounded).join(counts, keys).drop("_rows")
-    )
+    medians = percentiles_of_histogram(hist, keys, value, {"_median": 50}, bounded)
+    medians = medians.filter(F.col("rows") >= MIN_ROWS).drop("rows")
     distances = hist.join(medians, keys).withColumn("_distance", F.abs(v - F.col("_median")))
     spread = (
         percentiles_of_histogram(distances, keys, "_distance", {"_mad": 50}, bounded)
+        .drop("rows")
         .join(medians, keys)
         .filter(F.col("_mad") > 0)
     )
     score = (v - F.col("_median")) / (1.4826 * F.col("_mad"))
-    slow = _rank_of(hist, keys, value, spread, score > threshold)
+    slow = _rank_of(hist, keys, value, spread, score > threshold, bounded)
     return df.join(slow.withColumn("score", score).drop("_median", "_mad"), [*keys, value])
 
 
 def clamp_limits(hist: DataFrame, keys: list[str], value: str, k: float, bounded: bool = True) -> DataFrame:
     """``low`` and ``high`` per key; NULL where fewer than five rows or no spread forbid clamping."""
     q1, q3 = F.col("_q1"), F.col("_q3")
-    usable = (F.col("_rows") >= MIN_ROWS) & (q3 > q1)
-    return (
-        percentiles_of_histogram(hist, keys, value, {"_q1": 25, "_q3": 75}, bounded)
-        .join(hist.groupBy(*keys).agg(F.sum("n").alias("_rows")), keys)
-        .select(
-            *keys,
-            F.when(usable, q1 - k * (q3 - q1)).alias("low"),
-            F.when(usable, q3 + k * (q3 - q1)).alias("high"),
-        )
+    usable = (F.col("rows") >= MIN_ROWS) & (q3 > q1)
+    return percentiles_of_histogram(hist, keys, value, {"_q1": 25, "_q3": 75}, bounded).select(
+        *keys,
+        F.when(usable, q1 - k * (q3 - q1)).alias("low"),
+        F.when(usable, q3 + k * (q3 - q1)).alias("high"),
     )
 
 

@@ -30,16 +30,17 @@ def percentiles(
 
     ``bounded`` says that a key's distinct values fit in one task, as those of durations do.
     """
-    return percentiles_of_histogram(histogram(df, keys, value), keys, value, points, bounded)
+    return percentiles_of_histogram(histogram(df, keys, value), keys, value, points, bounded).drop("rows")
 
 
 def percentiles_of_histogram(
     hist: DataFrame, keys: list[str], value: str, points: dict[str, float], bounded: bool = True
 ) -> DataFrame:
+    """Percentiles per key and the key's ``rows``, from counts per value."""
     if not bounded:
         return sliced_percentiles(hist, keys, value, points)
-    found = hist.groupBy(*keys).agg(percentile_of(value, list(points.values())).alias("_p"))
-    return found.select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(points)])
+    found = hist.groupBy(*keys).agg(F.sum("n").alias("rows"), percentile_of(value, list(points.values())).alias("_p"))
+    return found.select(*keys, "rows", *[F.col("_p")[i].alias(name) for i, name in enumerate(points)])
 
 
 PER_E_FOLD = 64
@@ -101,6 +102,7 @@ def sliced_percentiles(
     between = F.col("_lo") + (pos - F.floor(pos)) * (F.col("_hi") - F.col("_lo"))
     ends = ends.withColumn("_q", between)
     return ends.groupBy(*keys).agg(
+        F.max("_n").alias("rows"),
         *[F.max(F.when(F.col("_p") == F.lit(p / 100), F.col("_q"))).alias(name) for name, p in points.items()]
     )
 
@@ -121,11 +123,18 @@ def quartiles(df: DataFrame, keys: list[str], value: str, bounded: bool = True)
     return q.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def below_counts(hist: DataFrame, keys: list[str], value: str, per_e_fold: int = PER_E_FOLD) -> DataFrame:
+def below_counts(
+    hist: DataFrame, keys: list[str], value: str, bounded: bool = True, per_e_fold: int = PER_E_FOLD
+) -> DataFrame:
     """Adds to a histogram the key's row count and how many of its rows have a smaller value.
 
-    Values are counted within slices and the rows of lower slices added, so no task sees a whole key.
+    Unbounded values are counted within slices and the rows of lower slices added, so no task sees a whole key.
     """
+    if bounded:
+        by_key = Window.partitionBy(*keys)
+        return hist.withColumn("total", F.sum("n").over(by_key)).withColumn(
+            "below", F.sum("n").over(by_key.orderBy(value)) - F.col("n")
+        )
     sliced = hist.withColumn("_slice", _slice_of(F.col(value), per_e_fold))
     totals = _slice_totals(sliced, keys).select(*keys, "_slice", F.col("_below"), F.col("_n").alias("total"))
     in_slice = Window.partitionBy(*keys, "_slice").orderBy(value)

@@ -14,10 +14,11 @@ EXACT_MAX = 20
 SHUFFLES = 10_000
 
 
-def rank_sum_u(df: DataFrame, keys: list[str], first: Column, value: str) -> DataFrame:
+def rank_sum_u(df: DataFrame, keys: list[str], first: Column, value: str, bounded: bool = False) -> DataFrame:
     """``n1``, ``n2`` and U = min(U1, U2) per key; ``first`` tells the rows of the first sample.
 
-    Ties take their mean rank. Ranks come from value counts, so no rows are sorted.
+    Ties take their mean rank. Ranks come from value counts, so no rows are sorted. ``bounded`` is as for
+    percentiles.
     """
     hist = (
         df.filter(F.col(value).isNotNull())
@@ -26,7 +27,7 @@ def rank_sum_u(df: DataFrame, keys: list[str], first: Column, value: str) -> Dat
     )
     mid_rank = F.col("below") + (F.col("n") + 1) / 2
     sums = (
-        below_counts(hist, keys, value)
+        below_counts(hist, keys, value, bounded)
         .groupBy(*keys)
         .agg(F.sum("_n1").alias("n1"), F.sum(F.col("n") - F.col("_n1")).alias("n2"),
              F.sum(F.col("_n1") * mid_rank).alias("_r1"))

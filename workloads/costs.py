@@ -130,7 +130,7 @@ SELECT event_id, event_type, round((value - med) / (1.4826 * mad), 4) AS score,
 WHERE mad > 0 AND (value - med) / (1.4826 * mad) > 3.5
 """
 
-Q["e3_percentile_rank"] = lambda s, d: outliers.percentile_rank(events(s, d), ["event_type"], "value").select("event_id", r4("rank", "rank"))
+Q["e3_percentile_rank"] = lambda s, d: outliers.percentile_rank(events(s, d), ["event_type"], "value", bounded=False).select("event_id", r4("rank", "rank"))
 O["e3_percentile_rank"] = """SELECT event_id, round((rank() OVER (PARTITION BY event_type ORDER BY value) - 1)
   / count(*) OVER (PARTITION BY event_type) * 100, 4) AS rank FROM events"""
 
