@@ -1,6 +1,5 @@
 """Session settings the operators rely on."""
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +23,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back without its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where the session has
-    none (tests, a laptop) a temporary one is set.
+    The folder is the shared one the cluster names in ``spark.checkpoint.dir``. A temporary folder serves
+    only where all tasks run on this machine and none is named.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="runlens-", dir=os.environ.get("TMPDIR")))
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="runlens-"))
     return df.checkpoint(eager=True)
