@@ -5,9 +5,10 @@ bits, then from some segment on the cumulative differences stay within their pro
 budget: none in one segment, at most one in two, at most two in three. The chain is checked a link at a
 time, each link on fewer fingerprints:
 
-1. segment i is equal: fingerprints alone with their segment leave this chain;
-2. segments i and i+1 differ in one bit at most: each fingerprint stands under its own two segments
-   (owner) and under those with one bit of segment i+1 flipped (guest). Keys that have not two
+1. segment i is equal, and so is one half of segment i+1, since the two differ there in one bit at most:
+   fingerprints that are alone with this part leave the chain;
+2. the other half of segment i+1 differs in one bit at most: each fingerprint stands under its own two
+   segments (owner) and under those with one bit of that half flipped (guest). Keys that have not two
    fingerprints, one of them owner, end here;
 3. owners stand under every value that differs in one bit of segment i+2, guests under their flipped value.
    A meeting place is a 64-bit value within one bit of all who stand there, so there are at most 65, any
@@ -16,6 +17,7 @@ time, each link on fewer fingerprints:
 Components come from alternating large-star and small-star steps (Kiveris et al. 2014).
 """
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -35,8 +37,15 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _mask(*segments: int) -> int:
-    return _signed(sum(((1 << SEGMENTS[s % 3][1]) - 1) << SEGMENTS[s % 3][0] for s in segments))
+def _bits(segment: int, half: int | None = None) -> range:
+    """Bits of a segment of the ring, or of its lower (0) or upper (1) half."""
+    begin, width = SEGMENTS[segment % 3]
+    middle = begin + width // 2
+    return range(begin if half != 1 else middle, begin + width if half != 0 else middle)
+
+
+def _mask(*parts: range) -> Column:
+    return F.lit(_signed(sum(1 << bit for part in parts for bit in part)))
 
 
 def _fingerprint(text: str | None, size: int) -> int:
@@ -67,9 +76,8 @@ def as_hex(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
-def _flips(value: Column, segment: int) -> Column:
-    begin, width = SEGMENTS[segment % 3]
-    return F.transform(F.lit([_signed(1 << bit) for bit in range(begin, begin + width)]), lambda bit: value.bitwiseXOR(bit))
+def _flips(value: Column, bits: range) -> Column:
+    return F.transform(F.lit([_signed(1 << bit) for bit in bits]), lambda bit: value.bitwiseXOR(bit))
 
 
 def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,23 +89,25 @@ def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
 def links(fingerprints: DataFrame) -> DataFrame:
     """Links (u, v), u > v, that join all distinct ``fp`` within two bits: a star per meeting place."""
     own = F.col("fp")
+    chains = [(i, half) for i in range(3) for half in range(2)]
     starts = fingerprints.select("fp", F.lit(True).alias("owner"), F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), own.bitwiseAND(F.lit(_mask(i))).alias("key")) for i in range(3)])).alias("s"))
-    first = checkpoint(_shared(starts.select("fp", "owner", "s.*"), ["i", "key"]).select("fp", "i"))
+        F.struct(F.lit(i).alias("i"), F.lit(half).alias("half"), own.bitwiseAND(_mask(_bits(i), _bits(i + 1, half))).alias("key"))
+        for i, half in chains])).alias("s"))
+    first = checkpoint(_shared(starts.select("fp", "owner", "s.*"), ["i", "half", "key"]).select("fp", "i", "half"))
 
-    stands = None
-    for i in range(3):
-        two = F.lit(_mask(i, i + 1))
-        at = first.filter(F.col("i") == i).select(
-            "fp", F.lit(i).alias("i"), F.explode(F.concat(F.array(own), _flips(own, i + 1))).alias("value"))
-        at = at.select("fp", "i", "value", (F.col("value") == own).alias("owner"), F.col("value").bitwiseAND(two).alias("key"))
-        stands = at if stands is None else stands.unionAll(at)
-    second = checkpoint(_shared(stands, ["i", "key"]).select("fp", "i", "value", "owner"))
+    def stand(i: int, half: int) -> DataFrame:
+        values = F.concat(F.array(own), _flips(own, _bits(i + 1, 1 - half)))
+        at = first.filter((F.col("i") == i) & (F.col("half") == half)).select("fp", "i", "half", F.explode(values).alias("value"))
+        two = _mask(_bits(i), _bits(i + 1))
+        return at.select("*", (F.col("value") == own).alias("owner"), F.col("value").bitwiseAND(two).alias("key"))
+
+    stands = reduce(DataFrame.unionAll, [stand(*chain) for chain in chains])
+    second = checkpoint(_shared(stands, ["i", "half", "key"]).select("fp", "i", "value", "owner").distinct())
 
     places = None
     for i in range(3):
         at = second.filter(F.col("i") == i).select(
-            "fp", F.explode(F.when(F.col("owner"), F.concat(F.array(own), _flips(own, i + 2)))
+            "fp", F.explode(F.when(F.col("owner"), F.concat(F.array(own), _flips(own, _bits(i + 2))))
                             .otherwise(F.array("value"))).alias("place"))
         places = at if places is None else places.unionAll(at)
     # At most 65 distinct fingerprints lie within one bit of a place.
