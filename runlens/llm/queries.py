@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import simhash, topk
+from runlens.llm import html, licenses, secrets, simhash, topk
 
 Q, O = {}, {}  # noqa: E741
 
@@ -17,6 +17,33 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = list(secrets.PATTERNS)
+    found = secrets.secret_scan(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", *[F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in [*kinds, "random"]],
+        F.sha2(secrets.listed(*kinds), 256).alias("base_sha256"), secrets.listed(*kinds, "random").alias("spans"))
+
+
+@_query
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(_table(spark, folder, "pages"))
+
+
+@_query
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.license_scan(_table(spark, folder, "documents"))
+    words, labels = F.transform("places", lambda p: p["word"]), F.transform("places", lambda p: p["label"])
+    rules = F.transform("detections", lambda d: d["label"])
+    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        joined(labels).alias("base_labels"), joined(F.concat(labels, rules)).alias("labels"),
+        F.coalesce(F.array_max(F.transform("detections", lambda d: d["weight"])), F.lit(0.0)).alias("score"))
+
+
 @_query
 def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings").select("vec_id", topk.to_integers(F.col("embedding")).alias("vector"))
