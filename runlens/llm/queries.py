@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import html, licenses, secrets, simhash, topk
+from runlens.llm import html, licenses, ngram_lm, secrets, simhash, topk
 
 Q, O = {}, {}  # noqa: E741
 
@@ -63,6 +63,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+@_query
+def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_lm.score_documents(_table(spark, folder, "documents"))
+
+
 @_query
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
