@@ -20,17 +20,21 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that all executors see: the one ``spark.checkpoint.dir`` names.
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``. A temporary folder serves
-    only where all tasks run on this machine and none is named.
+    A temporary folder serves only where all tasks run on this machine and none is named.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="runlens-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
