@@ -45,8 +45,8 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, *, grades_in_all: int, rounds: int = 300, least_documents: int = 3,
-        penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], grades: np.ndarray, *, grades_in_all: int, rounds: int = 200, least_documents: int = 3,
+        penalty: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds of greatest penalised likelihood, by gradient steps of adapted size.
 
     Features of fewer than ``least_documents`` documents have weight 0. Without rows all weights are 0 and the
@@ -100,7 +100,7 @@ def predict(rows: list[np.ndarray], weights: np.ndarray, thresholds: np.ndarray)
     return _sigmoid(scores[:, None] - thresholds[None, :])
 
 
-def grade_documents(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, max_rated: int = 16_000, least: float = 0.5) -> DataFrame:
+def grade_documents(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, max_rated: int = 16_000, least: float = 0.6) -> DataFrame:
     """Adds to every row of ``docs`` (doc_id, text, any others): expected_grade, p_top, kept.
 
     ``ratings`` has doc_id and ``grade`` (0 to ``grades`` - 1). The model is fitted on at most ``max_rated`` rated
@@ -139,7 +139,5 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, max
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:
-    """Grades from quality and toxicity labels: 0 poor, 1 well written but toxic, 2 well written and not toxic."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(
-        (F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    return labels.select("doc_id", grade.alias("grade"))
+    """Grades from quality and toxicity labels: 2 for a good text without toxicity, one less for each fault."""
+    return labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
