@@ -98,3 +98,15 @@ def _hits(rows: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
     same = F.aggregate(F.zip_with("own", "theirs", lambda a, b: F.equal_null(a, b)), F.lit(0),
                        lambda n, equal: n + equal.cast("int"))
     return parts.select("doc_id", "item_key", "first_word", F.size("theirs").alias("compared"), same.alias("matched"))
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, *, most_broadcast: int = 1_000_000, **options) -> DataFrame:
+    """The rows of ``docs`` (text, any others) whose text overlaps no item, whatever their ids.
+
+    Texts that overlap are named by hash; up to ``most_broadcast`` of them are broadcast.
+    """
+    found = overlaps(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, **options)
+    texts = checkpoint(found.select(F.col("doc_id").alias("_text")).distinct())
+    if texts.count() <= most_broadcast:
+        texts = F.broadcast(texts)
+    return docs.withColumn("_text", F.xxhash64("text")).join(texts, "_text", "left_anti").select(*docs.columns)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontaminate, html, licenses, line_dedup, ngram_lm, quality, secrets, simhash, topk
+from runlens.llm import decontaminate, html, licenses, line_dedup, mixing, ngram_lm, quality, secrets, simhash, topk
 
 Q, O = {}, {}  # noqa: E741
 
@@ -74,6 +74,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.grade_documents(_table(spark, folder, "documents"), ratings).select("doc_id", "expected_grade", "p_top", "kept")
 
 
+@_query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, folder, "documents").select("doc_id", "source"))
+
+
 @_query
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, folder, "documents")).select("doc_id", "n_lines", "n_kept", "text")

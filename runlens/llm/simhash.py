@@ -141,18 +141,30 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 3) -> DataFrame:
-    """Adds ``fp`` (signed long) and ``component_id`` to (doc_id, text) of ``docs``; one row per row.
+    """Per row of ``docs`` (doc_id, text): doc_id, text_hash, fp (signed long), component, component_id.
 
-    ``component_id`` is the smallest doc_id reachable over links of fingerprints that differ in at most two
-    bits, the document itself included; null ids do not count, and a component of null ids has null.
-    A null or empty text has fingerprint 0 and is linked like any other. Only doc_id and text are read.
+    ``component`` is a fingerprint that names the component, and ``component_id`` the smallest doc_id reachable
+    over links of fingerprints that differ in at most two bits, the document itself included; null ids do not
+    count, and a component of null ids has null. A null or empty text has fingerprint 0 and is linked like any
+    other. Rows stay as they are, repeated ones too; other columns are ignored.
     """
-    printed = checkpoint(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp")))
+    printed = checkpoint(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint(F.col("text"), size).alias("fp")))
     firsts = checkpoint(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = checkpoint(components(links(firsts.select("fp"))))
     linked = firsts.join(roots, F.col("fp") == F.col("node"))
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(lowest, "root").select("fp", "component_id")
-    known = checkpoint(
-        named.unionAll(firsts.join(named, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))))
-    return printed.join(known, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(lowest, "root").select("fp", F.col("root").alias("component"), "component_id")
+    alone = firsts.join(named, "fp", "left_anti").select("fp", F.col("fp").alias("component"), F.col("first_id").alias("component_id"))
+    return printed.join(checkpoint(named.unionAll(alone)), "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def one_per_component(docs: DataFrame, *, size: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the smallest doc_id, null ids last.
+
+    Rows with the same doc_id go by a hash of the text, and of rows alike in both one stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    stay = near_duplicates(docs, size=size).groupBy("component").agg(F.min(order).alias("first")).select(
+        F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    return rows.join(stay, F.expr("doc_id <=> _id AND _text = _hash"), "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
