@@ -59,9 +59,20 @@ def multiplier(labels: Column, rates: dict[str, float] | None = None) -> Column:
     )
 
 
-def rates_of(table: DataFrame) -> dict[str, float]:
-    """A rate table given as a DataFrame ``(label, rate)``; a price list, so it fits on the driver."""
-    return {r["label"].lower(): float(r["rate"]) for r in table.select("label", "rate").limit(10_000).collect()}
+def multipliers(sets: DataFrame, rates: DataFrame) -> DataFrame:
+    """Adds ``multiplier`` to rows of label texts (``labels``) from a rate table ``(label, rate)`` of any size.
+
+    The rule is that of :func:`multiplier`; the table takes the place of the built-in rates. Of a label that the
+    table has twice, the higher rate counts.
+    """
+    table = rates.groupBy(F.lower("label").alias("_name")).agg(F.max(F.col("rate").cast("double")).alias("_rate"))
+    each = sets.select("labels", F.posexplode(labels_from_text(F.col("labels"))).alias("_at", "_label")).distinct()
+    each = each.withColumn("_name", F.lower("_label")).join(table, "_name", "left")
+    known = each.withColumn("_rate", F.coalesce("_rate", _larger_runner_rate(F.col("_name")))).filter("_rate IS NOT NULL")
+    first = known.groupBy("labels").agg(F.min_by("_rate", "_at").alias("_first"))
+    hosted = is_self_hosted(labels_from_text(F.col("labels")))
+    return sets.join(first, "labels", "left").withColumn(
+        "multiplier", F.when(hosted, 0.0).otherwise(F.coalesce("_first", F.lit(1.0)))).drop("_first")
 
 
 def billable_minutes(seconds: Column) -> Column:

@@ -4,18 +4,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.durations import seconds_between
-from runlens.functions.labels import billable_minutes, is_self_hosted, labels_from_text, labels_to_text, multiplier
+from runlens.functions.labels import billable_minutes, is_self_hosted, labels_from_text, labels_to_text, multiplier, multipliers
 from runlens.operators.quantiles import histogram, percentile_of
 
 MIN_RUNS = 5
 KEYS = ["workflow_id", "job"]
 
 
-def job_costs(facts: DataFrame, rates: dict[str, float] | None = None) -> DataFrame:
+def job_costs(facts: DataFrame, rates: DataFrame | dict[str, float] | None = None) -> DataFrame:
     """Minutes, rate and runs per (workflow, job).
 
     The labels of the earliest run decide the rate of the whole key; label sets first seen at the same
-    moment are taken in text order. Rows shrink to one per label set before that choice is made.
+    moment are taken in text order. Rows shrink to one per label set before that choice is made. ``rates`` is
+    a table ``(label, rate)`` or a short mapping.
     """
     per_labels = facts.groupBy(*KEYS, labels_to_text(F.col("labels")).alias("labels")).agg(
         F.min("created_at").alias("first_seen"),
@@ -28,9 +29,9 @@ def job_costs(facts: DataFrame, rates: dict[str, float] | None = None) -> DataFr
         F.sum("minutes").alias("minutes"),
         F.sum("runs").alias("runs"),
     )
+    rated = multipliers(per_job, rates) if isinstance(rates, DataFrame) else per_job.withColumn("multiplier", multiplier(labels, rates))
     return (
-        per_job.withColumn("self_hosted", is_self_hosted(labels))
-        .withColumn("multiplier", multiplier(labels, rates))
+        rated.withColumn("self_hosted", is_self_hosted(labels))
         .select(
             *KEYS,
             "labels",
@@ -54,7 +55,7 @@ def run_billing(facts: DataFrame, costs: DataFrame) -> DataFrame:
     )
 
 
-def workflow_costs(runs: DataFrame, facts: DataFrame, rates: dict[str, float] | None = None) -> DataFrame:
+def workflow_costs(runs: DataFrame, facts: DataFrame, rates: DataFrame | dict[str, float] | None = None) -> DataFrame:
     """Cost per workflow with its daily rate, priority score and the saving of typical over cheap runs."""
     costs = job_costs(facts, rates)
     span = runs.agg(seconds_between(F.min("created_at"), F.max("created_at")).alias("s"))

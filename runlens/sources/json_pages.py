@@ -20,11 +20,11 @@ JOB_PAGE = (
     "steps:array<struct<name:string,number:int,status:string,conclusion:string,started_at:string,"
     "completed_at:string>>>>"
 )
-BATCH = (
-    "map<string,struct<databaseId:bigint,checkSuite:struct<checkRuns:struct<nodes:array<struct<name:string,"
+NODE = (
+    "databaseId bigint, checkSuite struct<checkRuns:struct<nodes:array<struct<name:string,"
     "databaseId:bigint,startedAt:string,completedAt:string,status:string,conclusion:string,"
     "steps:struct<nodes:array<struct<name:string,number:int,startedAt:string,completedAt:string,status:string,"
-    "conclusion:string>>>>>>>>>"
+    "conclusion:string>>>>>>>, _bad string"
 )
 
 
@@ -82,17 +82,20 @@ def decode_batch(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFrame, Da
     """Jobs, steps and diagnostics of batched responses, one JSON object ``{r0: …, r1: …}`` per row.
 
     ``df`` also has ``run_ids``, the runs asked for in order: ``rN`` answers the N-th. Bad stamps count as
-    missing here, and runner labels are not part of these responses.
+    missing here, and runner labels are not part of these responses. Each node is parsed on its own: one that
+    does not fit costs a diagnostic and nothing else.
     """
     node = (
-        df.select("run_ids", F.explode(F.from_json(json_col, BATCH)).alias("alias", "node"))
-        .withColumn("place", F.try_to_number(F.substring("alias", 2, 9), F.lit("999999999")).cast("int"))
+        df.select("run_ids", F.explode(F.from_json(json_col, "map<string,string>")).alias("alias", "_text"))
+        .filter(F.col("alias").rlike("^r[0-9]{1,8}$"))
+        .withColumn("place", F.substring("alias", 2, 8).cast("int"))
         .withColumn("run_id", F.try_element_at("run_ids", F.col("place") + 1))
         .filter(F.col("run_id").isNotNull())
-        .select("run_id", "node")
+        .select("run_id", F.from_json("_text", NODE, {"columnNameOfCorruptRecord": "_bad"}).alias("node"))
     )
+    fits = F.col("node._bad").isNull() & F.col("node.checkSuite").isNotNull()
+    broken, node = node.filter(~fits), node.filter(fits)
     suite = F.col("node.checkSuite")
-    broken = node.filter(suite.isNull())
     diagnostics = broken.select(
         F.lit("warn").alias("severity"),
         F.lit("network").alias("kind"),

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,16 @@ def test_batched_responses(spark):
     assert [n["scope"] for n in notes.collect()] == ["run-8"]
 
 
+def test_a_bad_node_costs_its_own_diagnostic(spark):
+    good = dict(databaseId=1, checkSuite=dict(checkRuns=dict(nodes=[dict(name="build", databaseId=70, status="COMPLETED")])))
+    typed = dict(databaseId=2, checkSuite=dict(checkRuns=dict(nodes=[dict(name="x", databaseId="seventy")])))
+    answer = json.dumps(dict(r0=good, r1="oops", r2=typed, r3=None, x4=good, r5=good))
+    asked = spark.createDataFrame([([7, 8, 9, 10, 11], answer)], "run_ids array<long>, body string")
+    jobs, steps, notes = json_pages.decode_batch(asked, "body")
+    assert [(j["job_id"], j["run_id"]) for j in jobs.collect()] == [(70, 7)] and steps.isEmpty()
+    assert sorted(n["scope"] for n in notes.collect()) == ["run-10", "run-8", "run-9"]
+
+
 def test_round_trip_and_upsert(spark, tmp_path):
     plain = [("Checkout", 5, "success"), ("Build", 20, "success")]
     first = tables(spark, [run(1, [job("old", 30, steps=plain)], status="in_progress"), run(2, [job("keep", 10, steps=plain)])])[:3]
@@ -82,18 +93,74 @@ def test_slices(spark):
     assert [(r["runs"], r["truncated"]) for r in found] == [(3, True), (0, False), (1, False)]
 
 
-def test_ingest_is_incremental(spark, tmp_path):
+@pytest.fixture()
+def stream(spark, tmp_path):
+    """Feeds pages one batch at a time and gives the run states, jobs and step jobs then stored."""
     (tmp_path / "in").mkdir()
-    args = (spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp"))
-    page(tmp_path / "in" / "1.json", workflow_runs=[dict(RUN, status="in_progress"), dict(RUN, id=8)], jobs=[JOB, dict(JOB, id=80, run_id=8)])
-    ingest.ingest(*args)
-    page(tmp_path / "in" / "2.json", workflow_runs=[RUN], jobs=[dict(JOB, id=71)])
-    ingest.ingest(*args)
-    ingest.ingest(*args)
-    now = ingest.read_store(spark, str(tmp_path / "store"))
-    assert sorted((r["run_id"], r["status"]) for r in now["runs"].collect()) == [(7, "completed"), (8, "completed")]
-    assert sorted(j["job_id"] for j in now["jobs"].collect()) == [71, 80]
-    assert sorted({s["job_id"] for s in now["steps"].collect()}) == [71, 80]
+    store_path = str(tmp_path / "store")
+
+    def feed(**content):
+        page(tmp_path / "in" / f"{len(list((tmp_path / 'in').iterdir())):03d}.json", **content)
+        ingest.ingest(spark, str(tmp_path / "in"), store_path, str(tmp_path / "cp"))
+        now = ingest.read_store(spark, store_path)
+        return (sorted((r["run_id"], r["status"]) for r in now["runs"].collect()), sorted(j["job_id"] for j in now["jobs"].collect()),
+                sorted({s["job_id"] for s in now["steps"].collect()}))
+
+    feed.store = store_path
+    return feed
+
+
+def test_ingest_is_incremental(spark, stream):
+    stream(workflow_runs=[dict(RUN, status="in_progress"), dict(RUN, id=8)], jobs=[JOB, dict(JOB, id=80, run_id=8)])
+    assert stream(workflow_runs=[RUN], total_count=1, jobs=[dict(JOB, id=71)]) == ([(7, "completed"), (8, "completed")], [71, 80], [71, 80])
+
+
+def test_runs_listed_again_keep_their_jobs(stream):
+    first = stream(workflow_runs=[RUN], total_count=1, jobs=[JOB])
+    assert stream(workflow_runs=[RUN]) == first and first[1] == [JOB["id"]]
+    # A run that is not complete takes the listed row and keeps its children.
+    stream(workflow_runs=[dict(RUN, id=9, status="in_progress")], total_count=1, jobs=[dict(JOB, id=90, run_id=9)])
+    assert stream(workflow_runs=[dict(RUN, id=9)]) == ([(7, "completed"), (9, "completed")], [70, 90], [70, 90])
+
+
+def test_jobs_before_runs_and_pages_in_parts(stream):
+    assert stream(total_count=2, jobs=[JOB]) == ([], [70], [70])
+    assert stream(workflow_runs=[RUN]) == ([(7, "completed")], [70], [70])
+    assert stream(total_count=2, jobs=[dict(JOB, id=71)])[1] == [70, 71]
+    # All jobs of a later attempt at once take the place of the old ones.
+    assert stream(total_count=1, jobs=[dict(JOB, id=72)]) == ([(7, "completed")], [72], [72])
+
+
+def test_versions_touch_their_buckets_only(spark, stream):
+    stream(workflow_runs=[dict(RUN, id=i) for i in range(40)])
+    before = {(e["table"], e["bucket"]): e["path"] for e in ingest._manifests(spark, stream.store)[1]}
+    stream(workflow_runs=[dict(RUN, id=100)], total_count=1, jobs=[dict(JOB, run_id=100)])
+    after = {(e["table"], e["bucket"]): e["path"] for e in ingest._manifests(spark, stream.store)[2]}
+    changed = [k for k in before if after[k] != before[k]]
+    assert len(changed) <= 1 and len(before) > 10
+    stream(workflow_runs=[dict(RUN, id=101)])
+    assert set(ingest.retired(spark, stream.store)) <= set(before.values())
+    # Without success markers, and with a version whose list is not whole, the last whole version counts.
+    for marker in Path(stream.store).rglob("_SUCCESS"):
+        marker.unlink()
+    broken = Path(stream.store) / "manifest" / "000000000004"
+    broken.mkdir()
+    (broken / "part-0.json").write_text('{"version": 4, "table": "runs", "bucket": 0, "path": "x", "entries": 3}')
+    assert ingest.latest_version(spark, stream.store) == 3
+    assert ingest.read_store(spark, stream.store)["runs"].count() == 42
+
+
+def test_repeated_batch(spark, tmp_path):
+    pages = spark.createDataFrame([(None, [], [])], ingest.PAGE)
+    ingest.save_batch(pages, str(tmp_path / "none"))
+    assert ingest.latest_version(spark, str(tmp_path / "none")) is None
+    page(tmp_path / "p.json", workflow_runs=[RUN], total_count=1, jobs=[JOB])
+    pages = spark.read.schema(ingest.PAGE).option("multiLine", True).json(str(tmp_path / "p.json"))
+    tables_now = []
+    for _ in range(2):
+        ingest.save_batch(pages, str(tmp_path / "store"))
+        tables_now.append({n: sorted(map(str, df.collect())) for n, df in ingest.read_store(spark, str(tmp_path / "store")).items()})
+    assert tables_now[0] == tables_now[1]
 
 
 def history(spark):
