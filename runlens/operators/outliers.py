@@ -11,15 +11,14 @@ MIN_ROWS = 5
 
 
 def _rank_of(hist: DataFrame, keys: list[str], value: str, limits: DataFrame, slow, bounded: bool) -> DataFrame:
-    """Slow values of a histogram with the share of the key's rows that are smaller."""
-    share = F.col("below") / F.col("total") * 100
-    return (
-        below_counts(hist, keys, value, bounded)
-        .join(limits, keys)
-        .filter(slow)
-        .withColumn("rank", share)
-        .drop("n", "below", "total")
-    )
+    """Slow values of a histogram with the share of the key's rows that are smaller.
+
+    Slow are all values above some limit, so the rows below one are those that are not slow and the slow ones
+    below it: only slow values are ordered. ``limits`` have the key's number of rows as ``_rows``.
+    """
+    high = hist.join(limits, keys).filter(slow)
+    share = (F.col("_rows") - F.col("total") + F.col("below")) / F.col("_rows") * 100
+    return below_counts(high, keys, value, bounded).withColumn("rank", share).drop("n", "below", "total", "_rows")
 
 
 def percentile_rank(df: DataFrame, keys: list[str], value: str, bounded: bool = True) -> DataFrame:
@@ -40,7 +39,8 @@ def log_iqr_outliers(
         percentiles_of_histogram(logs, keys, "_log", {"_q1": 25, "_q3": 75}, bounded)
         .filter(F.col("rows") >= MIN_ROWS)
         .withColumn("_limit", F.col("_q3") + k * (F.col("_q3") - F.col("_q1")))
-        .select(*keys, "_limit", F.exp("_limit").alias("fence"))
+        .join(hist.groupBy(*keys).agg(F.sum("n").alias("_rows")), keys)
+        .select(*keys, "_rows", "_limit", F.exp("_limit").alias("fence"))
     )
     slow = _rank_of(hist, keys, value, limits, (v > 0) & (F.log(v) > F.col("_limit")), bounded).drop("_limit")
     return df.join(slow, [*keys, value])
@@ -53,7 +53,7 @@ def mad_outliers(
     v = F.col(value)
     hist = histogram(df, keys, value)
     medians = percentiles_of_histogram(hist, keys, value, {"_median": 50}, bounded)
-    medians = medians.filter(F.col("rows") >= MIN_ROWS).drop("rows")
+    medians = medians.filter(F.col("rows") >= MIN_ROWS).withColumnRenamed("rows", "_rows")
     distances = hist.join(medians, keys).withColumn("_distance", F.abs(v - F.col("_median")))
     spread = (
         percentiles_of_histogram(distances, keys, "_distance", {"_mad": 50}, bounded)
@@ -67,13 +67,14 @@ def mad_outliers(
 
 
 def clamp_limits(hist: DataFrame, keys: list[str], value: str, k: float, bounded: bool = True) -> DataFrame:
-    """``low`` and ``high`` per key; NULL where fewer than five rows or no spread forbid clamping."""
+    """``low`` and ``high`` per key, NULL where fewer than five rows or no spread forbid clamping, and a ``centre``."""
     q1, q3 = F.col("_q1"), F.col("_q3")
     usable = (F.col("rows") >= MIN_ROWS) & (q3 > q1)
     return percentiles_of_histogram(hist, keys, value, {"_q1": 25, "_q3": 75}, bounded).select(
         *keys,
         F.when(usable, q1 - k * (q3 - q1)).alias("low"),
         F.when(usable, q3 + k * (q3 - q1)).alias("high"),
+        q1.alias("centre"),
     )
 
 
@@ -87,7 +88,7 @@ def clamp_outliers(df: DataFrame, keys: list[str], value: str, k: float = 4.0, b
     return (
         df.join(limits, keys, "left")
         .withColumn("clamped", clamp(F.col(value), F.col("low"), F.col("high")))
-        .drop("low", "high")
+        .drop("low", "high", "centre")
     )
 
 
@@ -102,19 +103,29 @@ def _reported(found: DataFrame, runs: DataFrame, min_rank: float) -> DataFrame:
     return found.filter((F.col("rank") >= min_rank) & enough).withColumn("severity", rank_severity(F.col("rank")))
 
 
-def run_outliers(runs: DataFrame, facts: DataFrame, method: str = "log-iqr", min_rank: float = 95.0) -> DataFrame:
-    """Slow runs of workflows with more than one job name. ``runs`` carry ``duration_s``."""
+def _timed_runs(runs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Runs of workflows with more than one job name, as rows of job ``''``."""
     names = facts.groupBy("workflow_id", "job").agg(F.first(F.lit(1)).alias("_one"))
     several = names.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("_jobs")).filter("_jobs > 1")
     timed = runs.filter("duration_s > 0").join(several.select("workflow_id"), "workflow_id", "left_semi")
-    found = detect(timed.select("workflow_id", "run_id", "head_sha", "duration_s"), ["workflow_id"], "duration_s", method)
-    return _reported(found.withColumn("job", F.lit("")), runs, min_rank)
+    return timed.select("workflow_id", F.lit(True).alias("_run"), F.lit("").alias("job"), "run_id", "head_sha", "duration_s")
+
+
+def _timed_jobs(facts: DataFrame) -> DataFrame:
+    return facts.filter("duration_s > 0").select("workflow_id", F.lit(False).alias("_run"), "job", "run_id", "head_sha", "duration_s")
+
+
+_KEYS = ["workflow_id", "_run", "job"]
+
+
+def run_outliers(runs: DataFrame, facts: DataFrame, method: str = "log-iqr", min_rank: float = 95.0) -> DataFrame:
+    """Slow runs of workflows with more than one job name. ``runs`` carry ``duration_s``."""
+    return _reported(detect(_timed_runs(runs, facts), _KEYS, "duration_s", method), runs, min_rank).drop("_run")
 
 
 def job_outliers(runs: DataFrame, facts: DataFrame, method: str = "log-iqr", min_rank: float = 95.0) -> DataFrame:
     """Slow jobs per (workflow, job)."""
-    timed = facts.filter("duration_s > 0").select("workflow_id", "job", "run_id", "head_sha", "duration_s")
-    return _reported(detect(timed, ["workflow_id", "job"], "duration_s", method), runs, min_rank)
+    return _reported(detect(_timed_jobs(facts), _KEYS, "duration_s", method), runs, min_rank).drop("_run")
 
 
 COLUMNS = ["workflow_id", "job", "run_id", "head_sha", "duration_s", "rank", "severity"]
@@ -123,9 +134,8 @@ COLUMNS = ["workflow_id", "job", "run_id", "head_sha", "duration_s", "rank", "se
 def all_outliers(runs: DataFrame, facts: DataFrame, workflows: DataFrame, method: str = "log-iqr",
                  min_rank: float = 95.0) -> DataFrame:
     """Run and job outliers with the workflow name; ``job`` is ``''`` for runs."""
-    both = run_outliers(runs, facts, method, min_rank).select(*COLUMNS).unionByName(
-        job_outliers(runs, facts, method, min_rank).select(*COLUMNS)
-    )
+    both = _timed_runs(runs, facts).unionByName(_timed_jobs(facts))
+    both = _reported(detect(both, _KEYS, "duration_s", method), runs, min_rank).select(*COLUMNS)
     return with_workflow_name(both, workflows)
 
 

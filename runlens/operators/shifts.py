@@ -168,7 +168,8 @@ def _limits(df: DataFrame, keys: list[str], value: str, m: int, clamp_k: float |
     if clamp_k is None:
         bounds = bounds.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
     clamped = hist.join(bounds, keys).withColumn("_c", clamp(F.col(value), F.col("low"), F.col("high")))
-    n, c = F.col("n"), F.col("_c")
+    # Distances from a value inside the series: squares of the values themselves would cancel far from zero.
+    n, c = F.col("n"), F.col("_c") - F.col("centre")
     rows, total = F.sum(n), F.sum(n * c)
     spread = F.sqrt(F.greatest(F.sum(n * c * c) - total * total / rows, F.lit(0.0)) / (rows - 1))
     return (
@@ -191,8 +192,8 @@ def _own_values(packed: DataFrame, keys: list[str], value: str) -> DataFrame:
 def _detect(
     df: DataFrame, keys: list[str], stamp: str, ties: list[str], value: str, row_id: str, threshold: float,
     m: int, clamp_k: float | None, piece_rows: int, slice_seconds: float,
-) -> tuple[DataFrame, DataFrame, bool]:
-    """Pieces of every long enough series, their detections, and whether any series has several."""
+) -> tuple[DataFrame, DataFrame]:
+    """Pieces of every long enough series, and their detections."""
     series = positions(df.select(*keys, *dict.fromkeys([stamp, *ties, value, row_id])), keys, stamp, ties, slice_seconds)
     packed = pieces(series, keys, value, row_id, m - 1, piece_rows)
     # The series in order is written once. All that follows reads it and not the input again.
@@ -215,8 +216,7 @@ def _detect(
         return checkpoint(_fold(pieces_to_fold, threshold, m).select(*place, "entry", "hits", "exit"))
 
     result = fold(chunks.withColumn("entry", F.lit(None).cast(STATE)))
-    several = not chunks.filter("piece > 0").isEmpty()
-    while several:
+    while True:
         handed = result.select(*keys, (F.col("piece") + 1).alias("piece"), F.col("exit").alias("entry"))
         stale = result.select(*place, F.col("entry").alias("_used")).join(handed, place)
         stale = checkpoint(stale.filter(~F.col("entry").eqNullSafe(F.col("_used"))).drop("_used"))
@@ -228,7 +228,7 @@ def _detect(
         others = stale.join(carried, place, "left_anti").select(*place, "entry")
         redone = fold(chunks.join(ends.unionByName(others), place)).unionByName(quiet)
         result = checkpoint(result.join(redone, place, "left_anti").unionByName(redone))
-    return chunks, result, several
+    return chunks, result
 
 
 def cusum(
@@ -237,7 +237,7 @@ def cusum(
     piece_rows: int = PIECE_ROWS, slice_seconds: float = SLICE_SECONDS,
 ) -> DataFrame:
     """Change points per series: index, means since the last change and over the next points, direction."""
-    _, found, _ = _detect(df, keys, stamp, ties, value, row_id, threshold, min_segment, clamp_k, piece_rows, slice_seconds)
+    _, found = _detect(df, keys, stamp, ties, value, row_id, threshold, min_segment, clamp_k, piece_rows, slice_seconds)
     before, after = F.col("before_mean"), F.col("after_mean")
     return (
         found.select(*keys, F.inline("hits"))
@@ -335,7 +335,7 @@ def shift_report(
     Before is every point ahead of the index, after every point from it on. Mid-ranks are fixed for the
     series, so U at any index is a prefix sum of them.
     """
-    chunks, found, several = _detect(
+    chunks, found = _detect(
         df, keys, stamp, ties, value, row_id, threshold, min_segment, clamp_k, piece_rows, slice_seconds
     )
     place = [*keys, "piece"]
@@ -349,11 +349,7 @@ def shift_report(
         .select(*keys, F.transform("_h", lambda x: x["v"]).alias("domain"),
                 F.transform("_h", lambda x: x["n"]).alias("total"))
     )
-    joined = chunks.join(hit, place).join(totals, keys)
-    if several:
-        joined = joined.join(_piece_bases(chunks, keys), place)
-    else:
-        joined = joined.withColumn("base", F.transform("total", lambda n: F.lit(0).cast("bigint")))
+    joined = chunks.join(hit, place).join(totals, keys).join(_piece_bases(chunks, keys), place)
     inputs = joined.select(
         *keys,
         "piece",

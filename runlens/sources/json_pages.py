@@ -73,9 +73,14 @@ def read_jobs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return jobs_of_pages(_pages(spark, path, JOB_PAGE))
 
 
+def workflows_of_pages(pages: DataFrame) -> DataFrame:
+    flow = pages.select(F.explode("workflows").alias("w"))
+    return with_defaults(flow.select(F.col("w.id").alias("workflow_id"), "w.name", "w.path"), WORKFLOWS)
+
+
 def read_workflows(spark: SparkSession, path: str) -> DataFrame:
-    page = _pages(spark, path, WORKFLOW_PAGE).select(F.explode("workflows").alias("w"))
-    return with_defaults(page.select(F.col("w.id").alias("workflow_id"), "w.name", "w.path"), WORKFLOWS)
+    """Workflows of workflow-listing pages."""
+    return workflows_of_pages(_pages(spark, path, WORKFLOW_PAGE))
 
 
 def decode_batch(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:

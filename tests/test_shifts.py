@@ -72,6 +72,12 @@ def test_pieces_do_not_change_the_result(spark):
     assert cusum(spark, groups, piece_rows=16, slice_seconds=600) == cusum(spark, groups)
 
 
+def test_offset_does_not_hide_a_shift(spark):
+    far = {k: [v + 1e9 for v in GROUPS[k]] for k in ("jump", "drop", "flat start")}
+    assert cusum(spark, far) == {k: brute([float(x) for x in v]) for k, v in far.items()}
+    assert all(cusum(spark, far).values())
+
+
 def brute_report(data, idx, following):
     before, after = data[:idx], data[idx:]
     u1 = sum((x > y) + (x == y) / 2 for x in before for y in after)

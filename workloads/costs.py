@@ -178,8 +178,31 @@ SELECT workflow_id, job, run_id, round(dur, 4) AS duration_s, round(rank, 4) AS
   CASE WHEN rank >= 99 THEN 'critical' WHEN rank >= 95 THEN 'warning' ELSE 'info' END AS severity
 FROM places JOIN mads USING (workflow_id, job) WHERE mad > 0 AND (dur - med) / (1.4826 * mad) > 3.5 AND rank >= 98
 """)
-Q["e8_group_outliers"] = Q["e9_without_repeats"] = lambda s, d: outliers.group_outliers(slow(s, d)).select(
-    "workflow", "job", "count", r4("worst_s", "worst_s"), r4("worst_rank", "worst_rank"), "worst_sha", "severity"
-)
-O["e8_group_outliers"] = O["e9_without_repeats"] = sql(SLOW + """
-SELECT workflow, job, count, round(worst_s, 4) AS worst_s, round(worst_rank, 4) AS worst_rank, worst_sha, severity FROM groups""")
+def _grouped(df):
+    return outliers.group_outliers(df).select(
+        "workflow", "job", "count", r4("worst_s", "worst_s"), r4("worst_rank", "worst_rank"), "worst_sha", "severity")
+
+
+_GROUPS = """SELECT workflow, job, count, round(worst_s, 4) AS worst_s, round(worst_rank, 4) AS worst_rank, worst_sha, severity FROM """
+Q["e8_group_outliers"] = lambda s, d: _grouped(slow(s, d))
+O["e8_group_outliers"] = sql(SLOW + _GROUPS + "groups")
+
+
+def _e9(s, d):
+    """Jobs that are slow in just the runs that are slow repeat their workflow; one slow in fewer runs does not."""
+    found = slow(s, d)
+    runs = found.filter("job = ''")
+    return _grouped(found.unionByName(runs.withColumn("job", F.lit("mirror"))).unionByName(
+        runs.filter("run_id % 2 = 0").withColumn("job", F.lit("half"))))
+
+
+Q["e9_without_repeats"] = _e9
+O["e9_without_repeats"] = sql(SLOW + """
+, halves AS (SELECT workflow, 'half' AS job, count(*) AS count, max(dur) AS worst_s, arg_max(rank, dur * 1e9 - run_id) AS worst_rank,
+    arg_max(head_sha, dur * 1e9 - run_id) AS worst_sha, max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS top,
+    any_value((SELECT count(*) FROM slow a WHERE a.job = '' AND a.workflow = slow.workflow)) AS whole
+  FROM slow WHERE job = '' AND run_id % 2 = 0 GROUP BY workflow),
+shaped AS (SELECT * FROM groups UNION ALL
+  SELECT workflow, job, count, worst_s, worst_rank, worst_sha, CASE top WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END
+  FROM halves WHERE count < whole)
+""" + _GROUPS + "shaped")
