@@ -46,37 +46,36 @@ def detect_stages(facts: DataFrame, gap_s: float = GAP_S) -> DataFrame:
     """
     keys = ["workflow_id", "run_id", "stage"]
     staged = _staged_jobs(facts, gap_s)
+    # Ranked and aggregated by the same keys, so both happen after one shuffle.
     order = Window.partitionBy(*keys).orderBy("_start", "job_id")
-    firsts = (
+    nth = [F.max(F.when(F.col("_rank") == n, F.col("job"))) for n in (1, 2, 3)]
+    return (
         staged.withColumn("_rank", F.row_number().over(order))
-        .filter("_rank <= 3")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "job"))).alias("_f"))
-        .select(*keys, F.transform("_f", lambda x: x["job"]).alias("_firsts"))
-    )
-    return (
-        staged.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("jobs"),
             F.min("job").alias("_low"),
             F.max("job").alias("_high"),
+            F.array_compact(F.array(*nth)).alias("_firsts"),
             F.array_sort(F.collect_set("job")).alias("job_names"),
             ((F.max("_end") - F.min("_start")) / 1e6).alias("stage_s"),
         )
-        .join(firsts, keys)
         .withColumn("name", stage_label(F.col("jobs"), F.col("_firsts"), F.col("_low"), F.col("_high")))
         .drop("_low", "_high", "_firsts")
     )
 
 
-def _wall_and_sum(runs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Runs with positive wall clock and job time; ``runs`` carry ``duration_s``."""
-    sums = facts.groupBy("run_id").agg(F.sum("duration_s").alias("job_sum_s"))
-    return (
-        runs.filter("duration_s > 0")
-        .select("workflow_id", "run_id", F.col("duration_s").alias("wall_s"))
-        .join(sums.filter("job_sum_s > 0"), "run_id")
-    )
+def _per_run(runs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Runs with the number of their jobs and the sum of job times; ``runs`` carry ``duration_s``."""
+    sums = facts.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_jobs"), F.sum("duration_s").alias("job_sum_s"))
+    own = [c for c in ("workflow_id", "run_id", "created_at", "duration_s") if c in runs.columns]
+    return runs.select(*own).join(sums, "run_id", "left").fillna(0, ["n_jobs"])
+
+
+def _measured(per_run: DataFrame) -> DataFrame:
+    """Runs with positive wall clock and job time."""
+    return per_run.filter("duration_s > 0 AND job_sum_s > 0").select(
+        "workflow_id", "run_id", F.col("duration_s").alias("wall_s"), "job_sum_s")
 
 
 def _typical(measured: DataFrame) -> DataFrame:
@@ -102,33 +101,33 @@ def _typical(measured: DataFrame) -> DataFrame:
 
 def parallelism(runs: DataFrame, facts: DataFrame) -> DataFrame:
     """Per workflow: median wall clock, median sum of job times and the share saved by running in parallel."""
-    return _typical(_wall_and_sum(runs, facts))
-
+    return _typical(_measured(_per_run(runs, facts)))
 
-def _jobs_per_run(runs: DataFrame, facts: DataFrame) -> DataFrame:
-    counts = facts.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_jobs"))
-    return runs.select("workflow_id", "run_id", "created_at").join(counts, "run_id", "left").fillna(0, ["n_jobs"])
 
-
-def stage_gate(runs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Workflows with at least five runs, one of which has two jobs or more."""
+def _gate(per_run: DataFrame) -> DataFrame:
     return (
-        _jobs_per_run(runs, facts)
-        .groupBy("workflow_id")
+        per_run.groupBy("workflow_id")
         .agg(F.count(F.lit(1)).alias("runs"), F.max("n_jobs").alias("max_jobs"))
         .filter((F.col("runs") >= MIN_RUNS) & (F.col("max_jobs") >= 2))
     )
 
 
+def stage_gate(runs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Workflows with at least five runs, one of which has two jobs or more."""
+    return _gate(_per_run(runs, facts))
+
+
 def stage_structure(runs: DataFrame, facts: DataFrame, gap_s: float = GAP_S) -> DataFrame:
     """Stages per workflow in the order of its run with most jobs, with median time and jobs of each.
 
     One row per stage; ``critical`` marks the longest one, ``sequential`` all but the first.
     """
     by_workflow = ["workflow_id"]
-    measured = checkpoint(_wall_and_sum(runs, facts))
-    typical = _typical(measured).join(stage_gate(runs, facts).select("workflow_id"), by_workflow, "left_semi")
-    # Three uses below; written once, as it takes several shuffles to make.
+    # Each input is read once; what several steps below need is written in narrow form.
+    facts = checkpoint(facts.select("workflow_id", "run_id", "job_id", "job", "started_at", "completed_at", "duration_s"))
+    per_run = checkpoint(_per_run(runs, facts))
+    measured = _measured(per_run)
+    typical = _typical(measured).join(_gate(per_run).select("workflow_id"), by_workflow, "left_semi")
     found = checkpoint(detect_stages(facts, gap_s))
     in_scope = found.join(measured.select("run_id"), "run_id", "left_semi")
     medians = histogram(in_scope, ["workflow_id", "name"], "stage_s").groupBy("workflow_id", "name").agg(
@@ -144,8 +143,7 @@ def stage_structure(runs: DataFrame, facts: DataFrame, gap_s: float = GAP_S) ->
     )
     most = Window.partitionBy("workflow_id").orderBy(F.col("n_jobs").desc(), "created_at", "run_id")
     model = (
-        _jobs_per_run(runs, facts)
-        .withColumn("_rank", F.row_number().over(most))
+        per_run.withColumn("_rank", F.row_number().over(most))
         .filter("_rank = 1")
         .select("run_id")
     )
