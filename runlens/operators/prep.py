@@ -69,6 +69,7 @@ def since(text: str, now: dt.datetime) -> Column:
         return F.lit(dt.datetime.strptime(text, "%Y-%m-%d"))
     match = re.fullmatch(r"(\d+)(d|w|mo)", text)
     if not match:
+        # Fixed value: the text of this error.
         raise ValueError(f"unrecognized period {text!r} (use Nd, Nw, Nmo, or YYYY-MM-DD)")
     count, unit = int(match[1]), match[2]
     step = {"d": F.make_interval(days=F.lit(count)), "w": F.make_interval(weeks=F.lit(count)),

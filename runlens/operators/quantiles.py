@@ -44,6 +44,8 @@ def percentiles_of_histogram(
 
 
 PER_E_FOLD = 64
+PARTS = 4096
+_SLICE = ["_slice", "_part"]
 
 
 def _slice_of(value: Column, per_e_fold: int) -> Column:
@@ -52,18 +54,38 @@ def _slice_of(value: Column, per_e_fold: int) -> Column:
     return F.when(value < 0, -1 - size).otherwise(size)
 
 
-def _slice_totals(sliced: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of each slice (``_in``), of all lower slices (``_below``) and of the key (``_n``).
+def _cut(hist: DataFrame, keys: list[str], value: str, per_e_fold: int) -> DataFrame:
+    """Adds ``_slice`` and ``_part``: slices by size, each cut into ``PARTS`` by the range of its own values.
+
+    So values that crowd into a narrow range are spread as well as those that span many orders.
+    """
+    v = F.col(value)
+    sliced = hist.withColumn("_slice", _slice_of(v, per_e_fold))
+    spans = sliced.groupBy(*keys, "_slice").agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+    part = F.least(F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * PARTS), F.lit(PARTS - 1))
+    return sliced.join(spans, [*keys, "_slice"]).withColumn(
+        "_part", F.when(F.col("_high") > F.col("_low"), part).otherwise(0).cast("bigint")).drop("_low", "_high")
+
+
+def _slice_totals(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each part (``_in``), of all lower parts (``_below``) and of the key (``_n``).
 
     A key has a few thousand slices at most: that many e-folds a double has, and no more.
     """
-    by_key = Window.partitionBy(*keys)
-    return (
-        sliced.groupBy(*keys, "_slice")
+    by_key, by_slice = Window.partitionBy(*keys), Window.partitionBy(*keys, "_slice")
+    parts = (
+        cut.groupBy(*keys, *_SLICE)
         .agg(F.sum("n").alias("_in"))
-        .withColumn("_n", F.sum("_in").over(by_key))
-        .withColumn("_below", F.sum("_in").over(by_key.orderBy("_slice")) - F.col("_in"))
+        .withColumn("_inside", F.sum("_in").over(by_slice.orderBy("_part")) - F.col("_in"))
+    )
+    slices = (
+        parts.groupBy(*keys, "_slice")
+        .agg(F.sum("_in").alias("_all"))
+        .withColumn("_n", F.sum("_all").over(by_key))
+        .withColumn("_before", F.sum("_all").over(by_key.orderBy("_slice")) - F.col("_all"))
     )
+    return parts.join(slices, [*keys, "_slice"]).select(
+        *keys, *_SLICE, "_in", "_n", (F.col("_before") + F.col("_inside")).alias("_below"))
 
 
 def sliced_percentiles(
@@ -71,24 +93,24 @@ def sliced_percentiles(
 ) -> DataFrame:
     """Interpolated percentiles of a histogram whose distinct values may be as many as its rows.
 
-    Values go to slices that keep their order, slice totals give the slice of each wanted position, and only
-    the values of those slices are ranked.
+    Values go to parts that keep their order, totals give the part of each wanted position, and only the values of
+    those parts are ranked.
     """
     v = F.col(value)
-    sliced = hist.filter(v.isNotNull()).withColumn("_slice", _slice_of(v, per_e_fold))
+    sliced = _cut(hist.filter(v.isNotNull()), keys, value, per_e_fold)
     wanted = (
         _slice_totals(sliced, keys)
         .withColumn("_p", F.explode(F.array(*[F.lit(p / 100) for p in dict.fromkeys(points.values())])))
         .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
     )
     end = F.col("_below") + F.col("_in")
-    # A position may fall between the last row of one slice and the first of the next: keep both.
+    # A position may fall between the last row of one part and the first of the next: keep both.
     wanted = wanted.filter((F.col("_pos") < end) & (F.ceil("_pos") >= F.col("_below")))
-    targets = wanted.groupBy(*keys, "_slice", "_n", "_below").agg(F.collect_set("_p").alias("_points"))
+    targets = wanted.groupBy(*keys, *_SLICE, "_n", "_below").agg(F.collect_set("_p").alias("_points"))
     # Counted by row: derived values such as distances may repeat, and equal ones may come in any order.
-    running = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*keys, *_SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        sliced.join(targets, [*keys, "_slice"])
+        sliced.join(targets, [*keys, *_SLICE])
         .withColumn("_last", F.col("_below") + F.sum("n").over(running) - 1)
         .withColumn("_first", F.col("_last") - F.col("n") + 1)
     )
@@ -128,19 +150,20 @@ def below_counts(
 ) -> DataFrame:
     """Adds to a histogram the key's row count and how many of its rows have a smaller value.
 
-    Unbounded values are counted within slices and the rows of lower slices added, so no task sees a whole key.
+    Unbounded values are counted within parts of slices and the rows of lower ones added, so no task sees a
+    whole key.
     """
     if bounded:
         by_key = Window.partitionBy(*keys)
         return hist.withColumn("total", F.sum("n").over(by_key)).withColumn(
             "below", F.sum("n").over(by_key.orderBy(value)) - F.col("n")
         )
-    sliced = hist.withColumn("_slice", _slice_of(F.col(value), per_e_fold))
-    totals = _slice_totals(sliced, keys).select(*keys, "_slice", F.col("_below"), F.col("_n").alias("total"))
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy(value)
+    cut = _cut(hist, keys, value, per_e_fold)
+    totals = _slice_totals(cut, keys).select(*keys, *_SLICE, F.col("_below"), F.col("_n").alias("total"))
+    in_part = Window.partitionBy(*keys, *_SLICE).orderBy(value)
     return (
-        sliced.withColumn("_upto", F.sum("n").over(in_slice))
-        .join(totals, [*keys, "_slice"])
+        cut.withColumn("_upto", F.sum("n").over(in_part))
+        .join(totals, [*keys, *_SLICE])
         .withColumn("below", F.col("_below") + F.col("_upto") - F.col("n"))
-        .drop("_slice", "_upto", "_below")
+        .drop(*_SLICE, "_upto", "_below")
     )

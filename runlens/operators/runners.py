@@ -8,6 +8,7 @@ from runlens.functions.grading import half_even
 from runlens.functions.labels import core_count, labels_from_text, labels_to_text, multiplier
 from runlens.operators.quantiles import histogram, percentile_of
 
+# The thresholds and the two suggestion texts below.
 MIN_RUNS = 5
 
 

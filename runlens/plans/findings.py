@@ -11,6 +11,7 @@ from runlens.functions.durations import duration_text, short_sha
 from runlens.functions.grading import half_even
 from runlens.operators.prep import with_workflow_name
 
+# Titles, descriptions and detail names in this module.
 COLUMNS = ["type", "severity", "title", "description", "detail"]
 
 # Finding types.

@@ -1,6 +1,7 @@
 """The queries behind the text reports. They take the typed results of the operators.
 
-A limit here is the report's own (its top three, its five slowest jobs), taken from a total order.
+A limit here is the report's own (its top three, its five slowest jobs), taken from a total order. Texts and
+thresholds in this module are fixed values.
 """
 
 from functools import reduce

@@ -94,3 +94,17 @@ def test_shuffles_agree_with_exact_and_repeat():
         p = table[(n1, n2, u)]
         assert abs(got - p) <= 3 * math.sqrt(p * (1 - p) / rank_test.SHUFFLES)
         assert got == rank_test.permutation_share(np.ones(n1 + n2, dtype=int), n1, u, seed=11)
+
+
+def test_a_crowded_range_is_cut(spark):
+    """Distinct values within a thousandth lie in one slice by size; its parts stay small."""
+    df = spark.range(40_000).select(F.lit("k").alias("k"), (1000 + F.col("id") / 4e7).alias("v"))
+    hist = quantiles.histogram(df, ["k"], "v")
+    cut = quantiles._cut(hist, ["k"], "v", quantiles.PER_E_FOLD)
+    assert cut.select("_slice").distinct().count() == 1
+    assert max(r["count"] for r in cut.groupBy("_slice", "_part").count().collect()) <= 20
+    row = quantiles.sliced_percentiles(hist, ["k"], "v", {"p10": 10, "p50": 50, "p99": 99}).first()
+    for name, p in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)):
+        assert row[name] == pytest.approx(1000 + p * 39_999 / 4e7, abs=1e-9)
+    below = quantiles.below_counts(hist, ["k"], "v", bounded=False)
+    assert below.filter(F.abs(F.col("below") - F.round((F.col("v") - 1000) * 4e7)) > 0).isEmpty()
