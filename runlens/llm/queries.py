@@ -22,8 +22,9 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     kinds = list(secrets.PATTERNS)
     found = secrets.secret_scan(_table(spark, folder, "documents"))
     return found.select(
-        "doc_id", *[F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in [*kinds, "random"]],
-        F.sha2(secrets.listed(*kinds), 256).alias("base_sha256"), secrets.listed(*kinds, "random").alias("spans"))
+        "doc_id", *[F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in kinds],
+        F.sha2(secrets.listed(*kinds), 256).alias("base_sha256"), secrets.listed(*kinds, "random").alias("spans"),
+        F.size("random").cast("bigint").alias("n_random"))
 
 
 @_query

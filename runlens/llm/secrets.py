@@ -81,44 +81,64 @@ def _with_spans(rows: DataFrame, name: str, pattern: str, group: int, least: int
     return rows.withColumn(name, F.when(F.col("_pieces").isNull(), none).otherwise(spans)).drop("_hits", "_pieces")
 
 
-def _two_sided(z: Column) -> Column:
-    return 2 * normal_tail(F.abs(z))
-
-
-def _battery(symbols: Column, alphabet: str) -> Column:
-    """p-value of the three tests together for a string over ``alphabet``."""
-    k, n = len(alphabet), F.length(symbols).cast("double")
-    parts = F.split(symbols, "")
-    squares = F.aggregate(F.array_distinct(parts), F.lit(0.0),
-                          lambda s, c: s + F.pow((n - F.length(F.replace(symbols, c, F.lit("")))).cast("double"), 2.0))
-    chi = (k / n * squares - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
-    uneven = F.when(chi > 0, normal_tail(chi)).otherwise(1 - normal_tail(-chi))
-    values = F.transform(parts, lambda c: F.position(c, F.lit(alphabet)) - 1 - (k - 1) / 2)
-    pairs = F.arrays_zip(F.slice(values, 1, F.size(values) - 1).alias("a"), F.slice(values, F.lit(2), F.size(values) - 1).alias("b"))
-    changes = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when((p["a"] > 0) != (p["b"] > 0), 1.0).otherwise(0.0))
-    runs = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    products = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["a"] * p["b"])
-    serial = products / ((k * k - 1) / 12 * F.sqrt(n - 1))
-    return F.least(F.lit(1.0), 3 * F.least(uneven, _two_sided(runs), _two_sided(serial)))
-
-
-def _scored(token: Column) -> Column:
-    """struct<start, end, token, words, length_class, bin> of a span."""
-    bare = F.rtrim(token["token"], F.lit("="))
-    p = None
-    for shape, alphabet in reversed(ALPHABETS.values()):
-        symbols = bare
-        if len(alphabet) == 16:
-            symbols = F.lower(bare)
-        elif len(alphabet) == 64:
-            symbols = F.translate(bare, "-_", "+/")
-        own = _battery(symbols, alphabet)
-        p = own if p is None else F.when(token["token"].rlike(shape), own).otherwise(p)
-    length = token["end"] - token["start"]
-    size = reduce(lambda c, least: F.when(length >= least, least).otherwise(c), CLASSES[1:], F.lit(CLASSES[0]))
-    bin_ = F.least(F.lit(BINS), F.floor(-F.log2(F.greatest(p, F.lit(1e-9))))).cast("int")
-    return F.struct(token["start"].alias("start"), token["end"].alias("end"), token["token"].alias("token"),
-                    token["token"].rlike(WORDS).alias("words"), size.alias("length_class"), bin_.alias("bin"))
+def _scored(tokens: Column) -> Column:
+    """array<struct<start, end, token, words, length_class, bin>> of an array of spans.
+
+    Each step is an array of its own, so that nothing a later step uses twice is computed twice.
+    """
+    place = ("start", "end", "token")
+
+    def symbols(t):
+        bare = F.rtrim(t["token"], F.lit("="))
+        kinds = [F.struct(F.lit(alphabet).alias("alphabet"), F.lit(float(len(alphabet))).alias("k"),
+                          (F.lower(bare) if len(alphabet) == 16 else F.translate(bare, "-_", "+/") if len(alphabet) == 64 else bare).alias("symbols"))
+                 for _, alphabet in ALPHABETS.values()]
+        kind = kinds[-1]
+        for (shape, _), own in reversed(list(zip(ALPHABETS.values(), kinds))[:-1]):
+            kind = F.when(t["token"].rlike(shape), own).otherwise(kind)
+        return F.struct(*[t[c].alias(c) for c in place], kind.alias("kind"))
+
+    def values(t):
+        k, text = t["kind"]["k"], t["kind"]["symbols"]
+        parts = F.split(text, "")
+        squares = F.aggregate(F.array_distinct(parts), F.lit(0.0), lambda s, c: s + F.pow(
+            (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double"), 2.0))
+        return F.struct(
+            *[t[c].alias(c) for c in place], k.alias("k"), F.length(text).cast("double").alias("n"), squares.alias("squares"),
+            F.transform(parts, lambda c: F.position(c, t["kind"]["alphabet"]) - 1 - (k - 1) / 2).alias("values"))
+
+    def statistics(t):
+        k, n = t["k"], t["n"]
+        after = F.slice(t["values"], F.lit(2), F.size(t["values"]) - 1)
+        both = F.zip_with(F.slice(t["values"], F.lit(1), F.size(t["values"]) - 1), after, lambda a, b: F.struct(
+            (a * b).alias("product"), ((a > 0) != (b > 0)).cast("double").alias("change")))
+        sums = F.aggregate(both, F.struct(F.lit(0.0).alias("product"), F.lit(0.0).alias("change")), lambda s, p: F.struct(
+            (s["product"] + p["product"]).alias("product"), (s["change"] + p["change"]).alias("change")))
+        return F.struct(*[t[c].alias(c) for c in place], k.alias("k"), n.alias("n"), t["squares"].alias("squares"), sums.alias("sums"))
+
+    def scores(t):
+        k, n = t["k"], t["n"]
+        chi = (k / n * t["squares"] - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
+        runs = (t["sums"]["change"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        serial = t["sums"]["product"] / ((k * k - 1) / 12 * F.sqrt(n - 1))
+        return F.struct(*[t[c].alias(c) for c in place], F.array(chi, F.abs(runs), F.abs(serial)).alias("z"))
+
+    def tails(t):
+        return F.struct(*[t[c].alias(c) for c in place], t["z"][0].alias("chi"),
+                        F.transform(t["z"], lambda z: normal_tail(F.abs(z))).alias("tails"))
+
+    def binned(t):
+        # Uneven counts speak against randomness, even ones do not; the other tests have two sides.
+        uneven = F.when(t["chi"] > 0, t["tails"][0]).otherwise(1 - t["tails"][0])
+        p = 3 * F.least(uneven, 2 * t["tails"][1], 2 * t["tails"][2])
+        length = t["end"] - t["start"]
+        size = reduce(lambda c, least: F.when(length >= least, least).otherwise(c), CLASSES[1:], F.lit(CLASSES[0]))
+        bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(-F.log2(F.greatest(p, F.lit(1e-9)))))).cast("int")
+        return F.struct(*[t[c].alias(c) for c in place], t["token"].rlike(WORDS).alias("words"), size.alias("length_class"), bin_.alias("bin"))
+
+    for step in (symbols, values, statistics, scores, tails, binned):
+        tokens = F.transform(tokens, step)
+    return tokens
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -127,8 +147,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def thresholds(docs: DataFrame, alpha: float) -> dict[int, int]:
     """Highest score bin that counts as random, per length class; classes without a discovery are absent."""
-    tokens = _with_spans(_texts(docs), "tokens", TOKEN, 0, 16).select(F.explode("tokens").alias("t"))
-    scored = tokens.select(_scored(F.col("t")).alias("t")).select("t.words", "t.length_class", "t.bin")
+    tokens = _with_spans(_texts(docs), "tokens", TOKEN, 0, 16).select(F.explode(_scored(F.col("tokens"))).alias("t"))
+    scored = tokens.select("t.words", "t.length_class", "t.bin")
     counts = scored.groupBy("words", "length_class", "bin").count().collect()
     found = {}
     for size in CLASSES:
@@ -156,7 +176,7 @@ def secret_scan(docs: DataFrame, *, alpha: float = 0.05) -> DataFrame:
     if limits:
         limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
         open_ = F.filter("tokens", lambda t: ~t["token"].rlike(WORDS))
-        kept = F.filter(F.transform(open_, _scored), lambda t: F.coalesce(t["bin"] <= F.try_element_at(limit, t["length_class"]), F.lit(False)))
+        kept = F.filter(_scored(open_), lambda t: F.coalesce(t["bin"] <= F.try_element_at(limit, t["length_class"]), F.lit(False)))
         random = F.transform(kept, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token")))
     rows = rows.withColumn("random", random).drop("tokens")
     for kind, pattern in PATTERNS.items():
