@@ -57,10 +57,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, *, grades_in_all: int, round
     if not len(rows):
         return weights, np.linspace(-1, 1, cuts)
     flat = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=SIZE)
     names = np.flatnonzero(seen >= least_documents)
-    place = np.full(SIZE, -1)
+    place = np.full(SIZE, -1, np.int32)
     place[names] = np.arange(len(names))
     used = place[flat] >= 0
     row, column = row[used], place[flat[used]]
@@ -100,7 +100,7 @@ def predict(rows: list[np.ndarray], weights: np.ndarray, thresholds: np.ndarray)
     return _sigmoid(scores[:, None] - thresholds[None, :])
 
 
-def grade_documents(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, max_rated: int = 16_000, least: float = 0.6) -> DataFrame:
+def grade_documents(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, max_rated: int = 12_000, least: float = 0.6) -> DataFrame:
     """Adds to every row of ``docs`` (doc_id, text, any others): expected_grade, p_top, kept.
 
     ``ratings`` has doc_id and ``grade`` (0 to ``grades`` - 1). The model is fitted on at most ``max_rated`` rated
@@ -117,15 +117,17 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, max
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     )
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+        return pd.Series([features(t).tobytes() for t in texts])
 
     # At most max_rated ids: small enough to broadcast whatever the corpus.
     rated = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rated = rated.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
-    table = rated.select("doc_id", "grade", hashed("text").alias("features")).toPandas().sort_values("doc_id")
-    weights, thresholds = fit([np.asarray(r) for r in table["features"]], table["grade"].to_numpy(), grades_in_all=grades)
+    # One packed value per document keeps the sample small on the driver.
+    table = sorted(rated.select("doc_id", "grade", hashed("text")).collect())
+    weights, thresholds = fit([np.frombuffer(r[2], np.int32) for r in table], np.array([r[1] for r in table], int), grades_in_all=grades)
+    del table
 
     @F.pandas_udf("expected_grade double, p_top double")
     def grade(texts: pd.Series) -> pd.DataFrame:
