@@ -104,18 +104,33 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 16, near_chars: int = 32,
     kept = firsts.join(repeats, ["h", "h2"], "left_anti").select("first.*")
     per_text = kept.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("line_no").alias("_kept"))
     rows = docs.drop("n_lines", "n_kept").withColumn("_text", F.xxhash64("text"))
-    rows = rows.join(per_text, F.expr("doc_id <=> _id AND _text = _hash"), "left").withColumn("_lines", F.split("text", "\n", -1))
-    # Slices between the dropped lines: one pass, however many lines a text has.
-    numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
-    judged = F.filter(numbers, lambda i: F.length(F.get("_lines", i)) >= least_chars)
-    gone = F.array_except(judged, F.coalesce("_kept", F.array().cast("array<int>")))
-    rows = rows.withColumn("_cuts", F.when(F.col("text").isNotNull(), F.concat(F.array(F.lit(-1)), gone, F.array(F.size("_lines")))))
-    rest = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.size("_cuts") - 1),
-        lambda j: F.slice("_lines", F.get("_cuts", j - 1) + 2, F.get("_cuts", j) - F.get("_cuts", j - 1) - 1)))
-    rows = rows.withColumn("_rest", F.when(F.col("text").isNotNull(), rest))
+    rows = rows.join(per_text, F.expr("doc_id <=> _id AND _text = _hash"), "left")
+    rows = rows.withColumn("_rest", _without_repeats(F.col("text"), F.coalesce("_kept", F.array().cast("array<int>")), least_chars))
     return rows.withColumns({
-        "text": F.when(F.col("text").isNotNull(), F.array_join("_rest", "\n")),
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint"),
-        "n_kept": F.when(F.col("text").isNull(), 0).otherwise(F.size("_rest")).cast("bigint"),
-    }).drop("_id", "_hash", "_kept", "_text", "_lines", "_cuts", "_rest")
+        "text": F.when(F.col("text").isNotNull(), F.array_join("_rest.lines", "\n")),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.col("_rest.n")).cast("bigint"),
+        "n_kept": F.when(F.col("text").isNull(), 0).otherwise(F.size("_rest.lines")).cast("bigint"),
+    }).drop("_id", "_hash", "_kept", "_text", "_rest")
+
+
+def _without_repeats(text: Column, kept: Column, least: int) -> Column:
+    """struct<n, lines>: number of lines, and those that are short or whose number is in ``kept``.
+
+    Takes the slices between dropped lines, one pass however many lines there are. Intermediate arrays are
+    bound as fields of one-element arrays: where the optimizer copies this expression, say into a filter, it
+    must not copy the split into the inner functions, which would split the text once per line.
+    """
+    split = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), kept.alias("kept")))
+
+    def cut(x):
+        judged = F.filter(F.sequence(F.lit(0), F.size(x["lines"]) - 1), lambda i: F.length(F.get(x["lines"], i)) >= least)
+        cuts = F.concat(F.array(F.lit(-1)), F.array_except(judged, x["kept"]), F.array(F.size(x["lines"])))
+        return F.struct(x["lines"].alias("lines"), cuts.alias("cuts"))
+
+    def take(x):
+        parts = F.transform(
+            F.sequence(F.lit(1), F.size(x["cuts"]) - 1),
+            lambda j: F.slice(x["lines"], F.get(x["cuts"], j - 1) + 2, F.get(x["cuts"], j) - F.get(x["cuts"], j - 1) - 1))
+        return F.struct(F.size(x["lines"]).alias("n"), F.flatten(parts).alias("lines"))
+
+    return F.when(text.isNotNull(), F.get(F.transform(F.transform(split, cut), take), F.lit(0)))
