@@ -48,13 +48,18 @@ def _mask(*parts: range) -> Column:
     return F.lit(_signed(sum(1 << bit for part in parts for bit in part)))
 
 
-def _fingerprint(text: str | None, size: int) -> int:
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the shingles of ``size`` words in order; of all words where there are fewer."""
     # bytes.lower() and bytes.split() know ASCII only, as the definition of words does.
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)] if words else []
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+
+
+def _fingerprint(text: str | None, size: int) -> int:
+    hashes = shingle_hashes(text, size)
+    if not len(hashes):
         return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
     ones = np.zeros(64, np.int64)
     for begin in range(0, len(hashes), _SPLIT):
         octets = hashes[begin : begin + _SPLIT].astype("<u8").view(np.uint8).reshape(-1, 8)
