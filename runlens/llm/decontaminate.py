@@ -5,8 +5,8 @@ there still meets its source: a seed is the hash of the words that a mask keeps.
 are joined with those of every position of every document. Around a hit, document and item are then compared
 word by word along their common offset.
 
-Benchmarks are far smaller than corpora: their seeds are broadcast, in chunks of at most ``chunk`` seeds, each
-chunk against all documents. Documents are neither shuffled nor collected, and a hot passage costs each
+Benchmarks are far smaller than corpora: their seeds, and the words of each item once, are broadcast, in chunks of
+whole items with about ``chunk`` seeds, each chunk against all documents. Documents are neither shuffled nor collected, and a hot passage costs each
 document that holds it only its own rows.
 """
 
@@ -52,22 +52,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8,
     """Overlaps between the rows of ``docs`` (doc_id, text) and the items of ``benchmark`` (item_id, text).
 
     Returns one row per doc_id and item_id that overlap: matched and compared words and first word (from 0) of
-    the best overlap. Words are compared along the common offset, in a window of up to ``window`` words on
-    each side of a hit, within both texts; they overlap where the share of equal words over the item's part
-    of the window reaches ``similarity``, on at least SPAN words. Items of fewer than SPAN words have no seed
+    the best overlap. Words are compared along the common offset, up to ``window`` words on each side of a hit and
+    within both texts. A part of at least SPAN words overlaps where its share of equal words reaches
+    ``similarity``: the whole window, or else the hit with the words on each side up to where equal words exceed
+    the similarity the most, so that a passage is judged on its own length. Items of fewer than SPAN words have no seed
     and meet no document. Null texts count as empty; null ids stand for themselves. Repeated documents and
     items give one row per pair of ids; other columns are ignored.
     """
     items = checkpoint(benchmark.select("item_id", _words(F.col("text")).alias("words"))
                        .withColumn("item_key", F.xxhash64("words")))
-    distinct = checkpoint(items.filter(F.size("words") >= SPAN).groupBy("item_key").agg(F.first("words").alias("words")))
-    seeds = checkpoint(benchmark_seeds(distinct).join(distinct, "item_key").select(
-        "seed", "at", "item_key", F.col("words").alias("item_words")))
+    distinct = checkpoint(items.filter(F.size("words") >= SPAN).groupBy("item_key").agg(F.first("words").alias("item_words")))
+    seeds = checkpoint(benchmark_seeds(distinct.withColumnRenamed("item_words", "words")).select("seed", "at", "item_key"))
     count = seeds.count()
     chunks = max(1, -(-count // chunk))
     rows = docs.select("doc_id", _words(F.col("text")).alias("words"))
-    hits = [_hits(rows, seeds if chunks == 1 else seeds.filter(F.pmod(F.xxhash64("seed"), F.lit(chunks)) == n), window)
-            for n in range(chunks)]
+    own = lambda table, n: table if chunks == 1 else table.filter(F.pmod(F.xxhash64("item_key"), F.lit(chunks)) == n)
+    hits = [_hits(rows, own(seeds, n), own(distinct, n), window, similarity) for n in range(chunks)]
     overlapping = (F.col("matched") / F.col("compared") >= similarity) & (F.col("compared") >= SPAN)
     overlap = F.struct("matched", (-F.col("compared")).alias("c"), (-F.col("first_word")).alias("f"))
     # A condition before the aggregate would become part of the join and keep it out of generated code.
@@ -82,22 +82,42 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8,
         (-F.col("best.f")).cast("bigint").alias("first_word"), (F.col("best.matched") / -F.col("best.c")).alias("similarity"))
 
 
-def _hits(rows: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
+def _reach(equal: Column, similarity: float) -> Column:
+    """Words of a side, from the hit on, up to where equal words exceed the similarity the most; the longest way on ties."""
+    step = lambda at, e: F.struct(
+        (at["n"] + 1).alias("n"), (at["sum"] + e - similarity).alias("sum"),
+        F.greatest(at["best"], at["sum"] + e - similarity).alias("best"),
+        F.when(at["sum"] + e - similarity >= at["best"] - 1e-9, at["n"] + 1).otherwise(at["reach"]).alias("reach"))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("reach"))
+    return F.aggregate(equal, zero, step, lambda at: at["reach"])
+
+
+def _hits(rows: DataFrame, seeds: DataFrame, items: DataFrame, window: int, similarity: float) -> DataFrame:
     """Word by word comparison around each seed that a document shares with an item."""
     spans = rows.select("doc_id", "words", F.inline(_seeds("words")))
     each = spans.select("doc_id", "words", "pos", F.explode(F.array(*_masked())).alias("seed"))
-    # At most ``chunk`` seeds, so the broadcast is bounded.
+    # About ``chunk`` seeds and the words of their items, so the broadcasts are bounded.
     met = each.join(F.broadcast(seeds), "seed")
     before = F.least("pos", "at", F.lit(window))
-    length = F.least(F.lit(2 * window + SPAN), F.size("item_words") - F.col("at") + before)
-    # Only the slices leave this step: it runs for every hit of a document before the next row is read.
-    parts = met.select(
-        "doc_id", "item_key", (F.col("pos") - before).alias("first_word"),
-        F.slice("words", F.col("pos") - before + 1, length).alias("own"),
-        F.slice("item_words", F.col("at") - before + 1, length).alias("theirs"))
-    same = F.aggregate(F.zip_with("own", "theirs", lambda a, b: F.equal_null(a, b)), F.lit(0),
-                       lambda n, equal: n + equal.cast("int"))
-    return parts.select("doc_id", "item_key", "first_word", F.size("theirs").alias("compared"), same.alias("matched"))
+    # Only the slice leaves this step: it runs for every hit of a document before the next row is read.
+    near = met.select("doc_id", "item_key", "pos", "at", before.alias("before"),
+                      F.slice("words", F.col("pos") - before + 1, before + SPAN + window).alias("own"))
+    both = near.join(F.broadcast(items), "item_key")
+    start = F.col("at") - F.col("before")
+    length = F.least(F.size("own"), F.size("item_words") - start)
+    equal = F.zip_with(F.slice("own", F.lit(1), length), F.slice("item_words", start + 1, length), lambda a, b: F.equal_null(a, b).cast("int"))
+    parts = both.select("doc_id", "item_key", "pos", "before", equal.alias("equal"))
+    matched = lambda x: F.aggregate(x, F.lit(0), lambda n, e: n + e)
+    # Text around a passage that is no part of the item must not count against it.
+    parts = parts.withColumn("whole", matched(F.col("equal")) / F.size("equal") >= similarity)
+    left = _reach(F.reverse(F.slice("equal", F.lit(1), F.col("before"))), similarity)
+    right = _reach(F.slice("equal", F.col("before") + (SPAN + 1), F.lit(window)), similarity)
+    parts = parts.select(
+        "doc_id", "item_key", "pos", "before", "equal", F.when(F.col("whole"), F.col("before")).otherwise(left).alias("left"),
+        F.when(F.col("whole"), F.size("equal") - F.col("before") - SPAN).otherwise(right).alias("right"))
+    compared = F.col("left") + SPAN + F.col("right")
+    return parts.select("doc_id", "item_key", (F.col("pos") - F.col("left")).alias("first_word"), compared.alias("compared"),
+                        matched(F.slice("equal", F.col("before") - F.col("left") + 1, compared)).alias("matched"))
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, *, most_broadcast: int = 1_000_000, **options) -> DataFrame:
