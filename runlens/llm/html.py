@@ -4,10 +4,15 @@ Each page's containers are scored by the paragraph text they hold, as a share of
 votes for generalised tag-class paths (positions dropped, digits in class names replaced), summed per host in
 Spark. Every page is then read again with its host's winning path; a page without that path falls back to
 its own best container, so no page loses its text to the vote.
+
+The densest container need not be the whole article: a headline or a section may stand beside it. Within the article
+or main element around the winner, else within body, containers with mostly unlinked text of their own are kept too,
+if at least half of the pages with the winner have them and their text is not the same on every page.
 """
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -157,24 +162,74 @@ def _best(scores: dict[str, int]) -> str | None:
     return max(scores, key=lambda path: (scores[path], path), default=None)
 
 
-def _text(html: str | None, winner: str | None) -> tuple[str, str | None]:
+def _root(path: str) -> str:
+    """The article or main element nearest around a path (or the path itself), else its body."""
+    parts = path.split(">")
+    tags = [part.split(".")[0] for part in parts]
+    end = max((n for n, tag in enumerate(tags) if tag in ("article", "main")), default=tags.index("body") if "body" in tags else 0)
+    return ">".join(parts[: end + 1])
+
+
+def _own(found: list[tuple[str, int, tuple[str, ...]]]) -> dict[str, tuple[int, int, int]]:
+    """Per container with text of its own: characters outside and inside links, and a hash of the text."""
+    own: dict[str, tuple[int, int, int]] = {}
+    for text, linked, paths in found:
+        plain, links, h = own.get(paths[-1], (0, 0, 0))
+        own[paths[-1]] = plain + max(len(text) - linked, 0), links + min(linked, len(text)), zlib.crc32(text.encode("utf-8", "surrogatepass"), h)
+    return own
+
+
+def _text(html: str | None, winner: str | None, sections: Iterable[str] | None) -> tuple[str, str | None]:
     found = list(blocks(html or ""))
-    path = winner if any(winner in paths for _, _, paths in found) else _best(_scores(found)) or "page"
-    return "\n".join(text for text, _, paths in found if path in paths), path if found else None
+    path = winner
+    if not any(winner in paths for _, _, paths in found):
+        path = _best(_scores(found)) or "page"
+        root = _root(path)
+        sections = [p for p, (plain, linked, _) in _own(found).items() if plain > linked and f"{p}>".startswith(f"{root}>")]
+    beside = frozenset(() if sections is None else sections)
+    return "\n".join(text for text, _, paths in found if path in paths or paths[-1] in beside), path if found else None
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): shares of page text per generalised path, summed over the pages of a host."""
+    """Per host and generalised path, over the pages of the host: ``votes``, shares of page text; ``present``, pages that have
+    the path; ``pages``, those where it has text of its own, and of that text the characters outside (``plain``) and
+    inside links (``linked``) and the least and greatest hash (``low``, ``high``)."""
 
     def run(batches):
         for batch in batches:
-            rows = [(host, path, score) for host, html in zip(batch["host"], batch["html"])
-                    for path, score in _scores(list(blocks(html or ""))).items()]
-            counted = pd.DataFrame(rows, columns=["host", "path", "votes"])
-            yield counted.groupby(["host", "path"], as_index=False)["votes"].sum()
-
-    single = pages.select("host", "html").mapInPandas(run, "host string, path string, votes bigint")
-    return single.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+            rows = []
+            for host, html in zip(batch["host"], batch["html"]):
+                found = list(blocks(html or ""))
+                scores, own = _scores(found), _own(found)
+                for path in {p for _, _, paths in found for p in paths}:
+                    plain, linked, h = own.get(path, (0, 0, None))
+                    rows.append((host, path, scores.get(path, 0), 1, int(path in own), plain, linked, h, h))
+            counted = pd.DataFrame(rows, columns=["host", "path", "votes", "present", "pages", "plain", "linked", "low", "high"])
+            counted = counted.astype({"low": "Int64", "high": "Int64"})
+            sums = dict.fromkeys(["votes", "present", "pages", "plain", "linked"], "sum")
+            yield counted.groupby(["host", "path"], as_index=False).agg({**sums, "low": "min", "high": "max"})
+
+    sums = ["votes", "present", "pages", "plain", "linked"]
+    single = pages.select("host", "html").mapInPandas(
+        run, "host string, path string, votes bigint, present bigint, pages bigint, plain bigint, linked bigint, low bigint, high bigint")
+    return single.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in sums], F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _layouts(counted: DataFrame) -> DataFrame:
+    """(host, path, sections): the winning path of a host, and the paths beside it whose text belongs to the article."""
+
+    @F.pandas_udf("string")
+    def root(paths: pd.Series) -> pd.Series:
+        return paths.map(_root)
+
+    best = counted.filter("votes > 0").groupBy("host").agg(F.max(F.struct("votes", "path", "present")).alias("best"))
+    best = checkpoint(best.select("host", F.col("best.path").alias("winner"), F.col("best.present").alias("most")).withColumn("root", root("winner")))
+    # Text that is the same on every page belongs to the layout, and a path that few pages have is no part of the article.
+    beside = counted.join(best, "host").filter(
+        "startswith(path || '>', root || '>') AND NOT startswith(path || '>', winner || '>') AND plain > linked"
+        " AND 2 * pages >= most AND (pages = 1 OR low != high)")
+    sections = beside.groupBy("host").agg(F.collect_set("path").alias("sections"))
+    return best.join(sections, "host", "left").select("host", F.col("winner").alias("path"), "sections")
 
 
 def main_text(pages: DataFrame, *, most_hosts: int = 100_000) -> DataFrame:
@@ -187,16 +242,14 @@ def main_text(pages: DataFrame, *, most_hosts: int = 100_000) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    winners = checkpoint(
-        votes(rows).groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best"))
-        .select("host", F.col("best.path").alias("path")))
+    winners = checkpoint(_layouts(checkpoint(votes(rows))))
     if winners.count() <= most_hosts:
         winners = F.broadcast(winners)
 
     @F.pandas_udf("text string, path string")
-    def extract(html: pd.Series, path: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_text(h, p) for h, p in zip(html, path)], columns=["text", "path"])
+    def extract(html: pd.Series, path: pd.Series, sections: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_text(*row) for row in zip(html, path, sections)], columns=["text", "path"])
 
-    found = rows.join(winners, "host", "left").withColumn("found", extract("html", "path"))
+    found = rows.join(winners, "host", "left").withColumn("found", extract("html", "path", "sections"))
     return found.select("page_id", "url", F.col("found.text").alias("text"),
                         F.length("found.text").cast("bigint").alias("n_chars"), F.col("found.path").alias("path"))
