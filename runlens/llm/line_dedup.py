@@ -21,9 +21,15 @@ from runlens.session import checkpoint
 _FIRST = ["no_id", "doc_id", "text_hash", "line_no"]
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
+def _judged(line: Column, least: int, keep_blank: bool) -> Column:
+    """Whether a line is compared at all."""
+    long = F.length(line) >= least
+    return long & line.rlike(r"\S") if keep_blank else long
+
+
+def _lines(docs: DataFrame, least: int, keep_blank: bool) -> DataFrame:
     split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return split.filter(F.length("line") >= least).select(
+    return split.filter(_judged(F.col("line"), least, keep_blank)).select(
         "*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.col("doc_id").isNull().alias("no_id"))
 
 
@@ -74,20 +80,21 @@ def _neighbours(lines: DataFrame) -> DataFrame:
     return both.filter(F.levenshtein("a", "b", 1) >= 0).select("later", "earlier")
 
 
-def dedup_lines(docs: DataFrame, *, least_chars: int = 16, near_chars: int = 32, most_broadcast: int = 400_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, least_chars: int = 16, near_chars: int = 32, keep_blank: bool = False,
+                most_broadcast: int = 400_000) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, any others) without the lines that an earlier line of the corpus repeats.
 
     Lines are split at line feeds. A line is dropped if an equal line comes earlier, or, from ``near_chars``
     characters on, a line within one edit (a character replaced, inserted or deleted). It need not be a line
     that stays. Earlier means a smaller doc_id (null ids last), then a smaller hash of the text, then a smaller
-    line number. Lines of fewer than ``least_chars`` characters always stay. Adds n_lines and n_kept (0 for a
+    line number. Lines of fewer than ``least_chars`` characters always stay, with ``keep_blank`` also those of white space. Adds n_lines and n_kept (0 for a
     null text, which stays null); a text without lines left is empty. Rows alike in doc_id and text are one
     document and come out alike; other columns stay, names that ``docs`` has already are replaced.
 
     Lines that may have a near partner are looked up by a broadcast up to ``most_broadcast`` of them, and by
     shuffle beyond.
     """
-    lines = _lines(docs, least_chars)
+    lines = _lines(docs, least_chars, keep_blank)
     firsts = checkpoint(lines.groupBy("h", "h2").agg(F.min(F.struct(*_FIRST)).alias("first")))
     long = lines.filter(F.length("line") >= near_chars)
     meeting = checkpoint(_meeting(long.select("h", "line")))
@@ -105,7 +112,7 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 16, near_chars: int = 32,
     per_text = kept.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("line_no").alias("_kept"))
     rows = docs.drop("n_lines", "n_kept").withColumn("_text", F.xxhash64("text"))
     rows = rows.join(per_text, F.expr("doc_id <=> _id AND _text = _hash"), "left")
-    rows = rows.withColumn("_rest", _without_repeats(F.col("text"), F.coalesce("_kept", F.array().cast("array<int>")), least_chars))
+    rows = rows.withColumn("_rest", _without_repeats(F.col("text"), F.coalesce("_kept", F.array().cast("array<int>")), least_chars, keep_blank))
     return rows.withColumns({
         "text": F.when(F.col("text").isNotNull(), F.array_join("_rest.lines", "\n")),
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.col("_rest.n")).cast("bigint"),
@@ -113,8 +120,8 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 16, near_chars: int = 32,
     }).drop("_id", "_hash", "_kept", "_text", "_rest")
 
 
-def _without_repeats(text: Column, kept: Column, least: int) -> Column:
-    """struct<n, lines>: number of lines, and those that are short or whose number is in ``kept``.
+def _without_repeats(text: Column, kept: Column, least: int, keep_blank: bool) -> Column:
+    """struct<n, lines>: number of lines, and those that are not compared or whose number is in ``kept``.
 
     Takes the slices between dropped lines, one pass however many lines there are. Intermediate arrays are
     bound as fields of one-element arrays: where the optimizer copies this expression, say into a filter, it
@@ -123,7 +130,7 @@ def _without_repeats(text: Column, kept: Column, least: int) -> Column:
     split = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), kept.alias("kept")))
 
     def cut(x):
-        judged = F.filter(F.sequence(F.lit(0), F.size(x["lines"]) - 1), lambda i: F.length(F.get(x["lines"], i)) >= least)
+        judged = F.filter(F.sequence(F.lit(0), F.size(x["lines"]) - 1), lambda i: _judged(F.get(x["lines"], i), least, keep_blank))
         cuts = F.concat(F.array(F.lit(-1)), F.array_except(judged, x["kept"]), F.array(F.size(x["lines"])))
         return F.struct(x["lines"].alias("lines"), cuts.alias("cuts"))
 
