@@ -56,11 +56,11 @@ def _keys_in(blob: bytes) -> np.ndarray:
 
 
 def _counts_out(counts: np.ndarray) -> bytes:
-    return zlib.compress(_by_byte(np.minimum(counts, 2**32 - 1).astype(np.uint32)), 1)
+    return zlib.compress(_by_byte(counts.astype(np.uint64)), 1)
 
 
 def _counts_in(blob: bytes) -> np.ndarray:
-    return _from_bytes(zlib.decompress(blob), np.uint32).astype(np.int64)
+    return _from_bytes(zlib.decompress(blob), np.uint64).astype(np.int64)
 
 
 # Batches ----------------------------------------------------------------------------------------------
@@ -257,7 +257,7 @@ def score_documents(docs: DataFrame, *, batch_chars: int = 20_000_000) -> DataFr
     are runs without ASCII white space, A-Z lower-cased, then one end. Returns doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score (add-one unigram) and score (the model), as log10 probabilities. Null
     text counts as empty: the end alone. Rows stay as they are, repeated ones too, and each is learned from;
-    other columns are ignored. Counts above 2^32 - 1 in one answer are held there.
+    other columns are ignored.
     """
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)), F.lit(-1)).cast("bigint")
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"), fold.alias("fold"))
