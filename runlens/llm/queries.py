@@ -3,7 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontaminate, html, licenses, line_dedup, mixing, ngram_lm, quality, secrets, simhash, topk
+from runlens.llm import (
+    decontaminate,
+    filter_audit,
+    html,
+    licenses,
+    line_dedup,
+    merkle,
+    mixing,
+    ngram_lm,
+    quality,
+    secrets,
+    simhash,
+    topk,
+    toxicity,
+)
 
 Q, O = {}, {}  # noqa: E741
 
@@ -114,3 +128,118 @@ def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return merkle.manifest(docs, merkle.tampered(docs)).rows
+
+
+def _manifest_sql(levels: int = 6) -> str:
+    """The manifest level by level, for up to 16^levels rows of a source and as many sources.
+
+    CRC-32 goes by half bytes, from a table of 16 entries that its polynomial gives.
+    """
+    table = []
+    for entry in range(16):
+        for _ in range(4):
+            entry = entry >> 1 ^ 0xEDB88320 * (entry & 1)
+        table.append(entry)
+    step = lambda c, half: f"xor({c} >> 4, {table}[CAST(xor({c}, {half}) & 15 AS INT) + 1])"
+    halves = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ascii(x) & 15, ascii(x) >> 4]))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST({halves} AS BIGINT[])), lambda c, half: {step('c', 'half')}), 4294967295)"
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    row = lambda text: f"sha256({part('doc_id')} || {part('source')} || {part('lang')} || {part('n_chars')} || {part(text)})"
+    lower = f"translate(text, '{merkle.ascii_uppercase}', '{merkle.ascii_lowercase}')"
+    ctes = [f"""
+leaves AS (
+  SELECT doc_id, source, {row('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {row(lower)} ELSE {row('text')} END AS seen FROM documents),
+a0 AS (
+  SELECT source AS tree, doc_id, leaf AS h, seen, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM leaves)"""]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            run = f"PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN"
+            ctes.append(f"""
+{name}s{k} AS (
+  SELECT tree, i, h, count(*) OVER (PARTITION BY tree) AS n,
+    coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name}{k}),
+{name}{k + 1} AS (
+  SELECT tree, i // 16 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+  FROM {name}s{k} GROUP BY tree, i // 16)""")
+
+    climb("a")
+    ctes.append(f"""
+b0 AS (SELECT 0 AS tree, tree AS source, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i FROM a{levels})""")
+    climb("b")
+    steps, joins, folded = [], [], "l.seen"
+    for name, at, key in (("a", "l.i", "l.tree"), ("b", "t.i", "0")):
+        for k in range(levels):
+            own = f"{name}{k}_"
+            steps.append(f"{own}.before || {own}.after")
+            joins.append(f"JOIN {name}s{k} {own} ON {own}.tree IS NOT DISTINCT FROM {key} AND {own}.i = {at} // {16**k}")
+            folded = f"fold({folded}, {own}.before, {own}.after, {own}.n)"
+    # Each fold is a subquery of its own, so that no text is written out twice.
+    chain = "SELECT *, seen AS f0 FROM joined"
+    for k in range(2 * levels):
+        own = f"{'ab'[k // levels]}{k % levels}"
+        chain = f"SELECT *, CASE WHEN n_{own} = 1 THEN f{k} ELSE sha256(before_{own} || f{k} || after_{own}) END AS f{k + 1} FROM ({chain})"
+    sides = [f"{o}_.{c} AS {c}_{o}" for o in [f"{n}{k}" for n in "ab" for k in range(levels)] for c in ("before", "after", "n")]
+    ctes.append(f"""
+joined AS (
+  SELECT l.doc_id, l.h AS leaf, l.seen, t.h AS subroot, r.h AS root, sha256({' || '.join(steps)}) AS proof_sha256, {', '.join(sides)}
+  FROM a0 l JOIN b0 t ON t.source IS NOT DISTINCT FROM l.tree CROSS JOIN b{levels} r {' '.join(joins)})""")
+    return (f"WITH {','.join(ctes)} SELECT doc_id, leaf, subroot, root, proof_sha256, f{2 * levels} AS folded_root, "
+            f"f{2 * levels} = root AS verified FROM ({chain})")
+
+
+O["op12_merkle_manifest"] = _manifest_sql()
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    audit = filter_audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return audit.drop("filter")
+
+
+O["op13_filter_audit"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+failing AS (
+  SELECT part, doc_id, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM texts),
+masks AS (
+  SELECT f.part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS mask,
+    coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+  FROM failing f LEFT JOIN labels l ON l.doc_id = f.doc_id),
+cells AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY part, mask),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)),
+prefixes AS (
+  SELECT '' AS prefix, '' AS letter, 0 AS step, 0 AS applied, 0 AS bit
+  UNION ALL
+  SELECT p.prefix || l.letter, l.letter, p.step + 1, p.applied | p.bit, l.bit FROM prefixes p JOIN letters l ON (p.applied | p.bit) & l.bit = 0),
+steps AS (
+  SELECT c.part, p.prefix, p.letter, p.step,
+    coalesce(sum(n) FILTER (mask & (applied | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & applied = 0 AND mask & bit > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & applied > 0 AND mask & bit > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & applied = 0 AND mask & bit > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & applied = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM prefixes p CROSS JOIN cells c WHERE p.step > 0 GROUP BY ALL)
+SELECT s.part, o.prefix AS filter_order, s.step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY s.part, s.letter) AS BIGINT) AS shapley
+FROM steps s JOIN prefixes o ON o.step = 5 AND s.prefix = left(o.prefix, s.step)
+"""
