@@ -1,23 +1,16 @@
-"""Incremental ingest: listing pages are merged into a store of versions.
+"""Incremental ingest: listing pages become segments of a store (see ``sources.store``)."""
 
-A store keeps runs, jobs and steps in ``BUCKETS`` buckets of the run id. A batch reads and rewrites only the
-buckets of its runs, as new folders; a version is a list of the folders that make up the tables. That list is
-written last and names its own length, so a version counts once it is whole, whatever the file system's
-committer leaves behind. Folders that no recent version names can be deleted (:func:`retired`).
-"""
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from runlens.session import checkpoint
+from runlens.session import checkpoint as written
+from runlens.sources import store as log
 from runlens.sources.json_pages import JOB_PAGE, RUN_PAGE, jobs_of_pages, runs_of_pages
-from runlens.sources.tables import TABLES, split_cached, with_defaults
+from runlens.sources.store import read_store
+
+__all__ = ["PAGE", "ingest", "job_totals", "latest_version", "read_store", "save_batch"]
 
 PAGE = f"{RUN_PAGE}, {JOB_PAGE.removeprefix('total_count bigint, ')}"
-BUCKETS = 64
-MANIFEST = "version bigint, table string, bucket int, path string, entries bigint"
 
 
 def _latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -26,70 +19,9 @@ def _latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")
-
-
-def _manifests(spark: SparkSession, store: str) -> dict[int, list]:
-    """Entries of every whole version. A version has one entry per table and bucket, so this stays small."""
-    try:
-        rows = spark.read.schema(MANIFEST).json(f"{store}/manifest/*").collect()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return {}
-    versions: dict[int, list] = {}
-    for row in rows:
-        versions.setdefault(row["version"], []).append(row)
-    return {v: entries for v, entries in versions.items() if all(len(entries) == e["entries"] for e in entries)}
-
-
 def latest_version(spark: SparkSession, store: str) -> int | None:
-    """Newest whole version of a store, or None."""
-    return max(_manifests(spark, store), default=None)
-
-
-def _read(spark: SparkSession, entries: list, buckets: list[int] | None = None) -> dict[str, DataFrame]:
-    """The tables of some entries; steps carry the run of their job."""
-    found = {}
-    for name, schema in TABLES.items():
-        paths = [e["path"] for e in entries if e["table"] == name and (buckets is None or e["bucket"] in buckets)]
-        stored = schema if "run_id" in schema.names else T.StructType([*schema.fields, T.StructField("run_id", T.LongType())])
-        found[name] = spark.read.schema(stored).parquet(*paths) if paths else spark.createDataFrame([], stored)
-    return found
-
-
-def read_store(spark: SparkSession, store: str) -> dict[str, DataFrame]:
-    """The tables of the newest version; empty ones for a new store."""
-    versions = _manifests(spark, store)
-    found = _read(spark, versions[max(versions)] if versions else [])
-    return {name: with_defaults(df, TABLES[name]) for name, df in found.items()}
-
-
-def merge(
-    stored: tuple[DataFrame, DataFrame, DataFrame], runs: DataFrame, jobs: DataFrame, steps: DataFrame, totals: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs, jobs and steps (with run_id) of a store after a batch of listed runs and of job pages.
-
-    A listed run that is stored and completed stays as it is, unless the batch has job pages for it; any other
-    takes the listed row. Jobs replace all jobs of their run where the batch has as many as the listing
-    announced (``totals``: run_id, total), and otherwise those of the same id. Steps follow their job. So runs
-    listed again keep their children, and pages of one run may come in any order and in several batches.
-    """
-    old_runs, old_jobs, old_steps = stored
-    loaded = jobs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    fresh = split_cached(runs, old_runs).join(loaded.select("run_id", F.lit(True).alias("_loaded")), "run_id", "left")
-    fresh = fresh.filter(~F.col("cached") | F.col("_loaded")).drop("cached", "_loaded")
-    whole = loaded.join(totals, "run_id").filter("n >= total").select("run_id")
-    saved = jobs.select("job_id")
-    kept_jobs = old_jobs.join(whole, "run_id", "left_anti").join(saved, "job_id", "left_anti")
-    kept_steps = old_steps.join(whole, "run_id", "left_anti").join(saved, "job_id", "left_anti")
-    new_steps = steps.join(jobs.select("job_id", "run_id"), "job_id")
-    return (
-        old_runs.join(fresh.select("run_id"), "run_id", "left_anti").unionByName(fresh),
-        kept_jobs.unionByName(jobs),
-        kept_steps.unionByName(new_steps),
-    )
+    """Newest version of a store, or None."""
+    return log.version(spark, store)["version"] or None
 
 
 def job_totals(pages: DataFrame) -> DataFrame:
@@ -99,51 +31,26 @@ def job_totals(pages: DataFrame) -> DataFrame:
     return listed.groupBy("run_id").agg(F.max("total").alias("total"))
 
 
-def save_batch(pages: DataFrame, store: str, buckets: int = BUCKETS) -> None:
-    """Merges some pages into the next version of a store. Repeating a batch gives the same tables."""
-    spark = pages.sparkSession
-    versions = _manifests(spark, store)
-    current = versions[max(versions)] if versions else []
+def save_batch(pages: DataFrame, store: str, source: str | None = None, batch: int | None = None) -> None:
+    """Adds some pages to a store. Repeating a batch gives the same tables; with its number it is left out."""
     ended = F.col("completed_at").desc_nulls_last()
-    runs = checkpoint(_latest(runs_of_pages(pages), ["run_id"], F.col("run_attempt").desc(), F.col("updated_at").desc_nulls_last()))
+    runs = written(_latest(runs_of_pages(pages), ["run_id"], F.col("run_attempt").desc(), F.col("updated_at").desc_nulls_last()))
     jobs, steps = jobs_of_pages(pages)
-    jobs, steps = checkpoint(_latest(jobs, ["job_id"], ended)), checkpoint(_latest(steps, ["job_id", "number"], ended))
-    touched = runs.select("run_id").unionAll(jobs.select("run_id")).select(_bucket(buckets).alias("b")).distinct()
-    # At most ``buckets`` numbers.
-    touched = sorted(row["b"] for row in touched.collect())
-    if not touched:
-        return
-    old = _read(spark, current, touched)
-    merged = merge((old["runs"], old["jobs"], old["steps"]), runs, jobs, steps, job_totals(pages))
-    version = max(versions, default=0) + 1
-    entries = [(version, e["table"], e["bucket"], e["path"]) for e in current if e["bucket"] not in touched]
-    for name, df in zip(TABLES, merged):
-        folder = f"{store}/data/{version:012d}/{name}"
-        sorted_in = df.withColumn("bucket", _bucket(buckets)).repartition("bucket")
-        sorted_in.write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        # The schema is given, so that a folder without rows reads as well.
-        filled = spark.read.schema("bucket int").parquet(folder).select("bucket").distinct().collect()
-        entries += [(version, name, row["bucket"], f"{folder}/bucket={row['bucket']}") for row in filled]
-    rows = [(*e, len(entries)) for e in entries]
-    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{store}/manifest/{version:012d}")
-
-
-def retired(spark: SparkSession, store: str, keep: int = 2) -> list[str]:
-    """Folders of older versions that none of the ``keep`` newest versions names."""
-    versions = _manifests(spark, store)
-    recent = sorted(versions)[-keep:]
-    used = {e["path"] for v in recent for e in versions[v]}
-    return sorted({e["path"] for v in versions for e in versions[v]} - used)
+    jobs, steps = written(_latest(jobs, ["job_id"], ended)), written(_latest(steps, ["job_id", "number"], ended))
+    log.append(pages.sparkSession, store, runs, jobs, steps, job_totals(pages), source, batch)
 
 
 def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str):
-    """Streams new page files of a folder into a store until none is left; returns the finished query."""
+    """Streams new page files of a folder into a store until none is left; returns the finished query.
+
+    Each batch is one commit, numbered by the stream, and then merges segments that are due.
+    """
+
+    def save(pages: DataFrame, batch: int) -> None:
+        save_batch(pages, store, checkpoint, batch)
+        log.compact(spark, store)
+
     pages = spark.readStream.schema(PAGE).option("multiLine", True).json(folder)
-    query = (
-        pages.writeStream.foreachBatch(lambda df, batch: save_batch(df, store))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    query = pages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

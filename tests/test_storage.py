@@ -131,25 +131,6 @@ def test_jobs_before_runs_and_pages_in_parts(stream):
     assert stream(total_count=1, jobs=[dict(JOB, id=72)]) == ([(7, "completed")], [72], [72])
 
 
-def test_versions_touch_their_buckets_only(spark, stream):
-    stream(workflow_runs=[dict(RUN, id=i) for i in range(40)])
-    before = {(e["table"], e["bucket"]): e["path"] for e in ingest._manifests(spark, stream.store)[1]}
-    stream(workflow_runs=[dict(RUN, id=100)], total_count=1, jobs=[dict(JOB, run_id=100)])
-    after = {(e["table"], e["bucket"]): e["path"] for e in ingest._manifests(spark, stream.store)[2]}
-    changed = [k for k in before if after[k] != before[k]]
-    assert len(changed) <= 1 and len(before) > 10
-    stream(workflow_runs=[dict(RUN, id=101)])
-    assert set(ingest.retired(spark, stream.store)) <= set(before.values())
-    # Without success markers, and with a version whose list is not whole, the last whole version counts.
-    for marker in Path(stream.store).rglob("_SUCCESS"):
-        marker.unlink()
-    broken = Path(stream.store) / "manifest" / "000000000004"
-    broken.mkdir()
-    (broken / "part-0.json").write_text('{"version": 4, "table": "runs", "bucket": 0, "path": "x", "entries": 3}')
-    assert ingest.latest_version(spark, stream.store) == 3
-    assert ingest.read_store(spark, stream.store)["runs"].count() == 42
-
-
 def test_repeated_batch(spark, tmp_path):
     pages = spark.createDataFrame([(None, [], [])], ingest.PAGE)
     ingest.save_batch(pages, str(tmp_path / "none"))

@@ -1,12 +1,13 @@
 """Listing pages, batched responses and incremental ingest, fed from the sample history."""
 
+import datetime as dt
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from runlens.operators import cost
-from runlens.session import shared_folder
-from runlens.sources import json_pages
+from runlens.session import checkpoint, shared_folder
+from runlens.sources import json_pages, store
 from runlens.sources import sample_history as history
 from runlens.streaming import ingest
 from workloads.base import facts, r4, sql, stamp
@@ -96,13 +97,13 @@ FROM jobs WHERE run_id % 13 = 0 OR run_id % 11 = 0 OR run_id % 7 = 0
 
 def _k1(s, d):
     """Three batches: first attempts listed, all job pages, then later attempts listed without jobs."""
-    store = f"{shared_folder(s)}/store-{uuid4().hex}"
+    place = f"{shared_folder(s)}/store-{uuid4().hex}"
     attempts = history.attempts(s, d)
     pages = [run_pages(attempts.filter("run_attempt = 1")), job_pages(s, d), run_pages(attempts.filter("run_attempt > 1"))]
     empty = s.createDataFrame([], ingest.PAGE)
     for page in pages:
-        ingest.save_batch(empty.unionByName(page.drop("_page"), allowMissingColumns=True).select(*empty.columns), store)
-    now = ingest.read_store(s, store)
+        ingest.save_batch(empty.unionByName(page.drop("_page"), allowMissingColumns=True).select(*empty.columns), place)
+    now = ingest.read_store(s, place)
     jobs = now["jobs"].groupBy("run_id").agg(F.count(F.lit(1)).alias("jobs"))
     steps = now["steps"].join(now["jobs"].select("job_id", "run_id"), "job_id").groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"))
     return now["runs"].join(jobs, "run_id", "left").join(steps, "run_id", "left").select("run_id", "run_attempt", "conclusion", "jobs", "steps")
@@ -118,6 +119,34 @@ FROM kept k LEFT JOIN jobs j ON j.run_id = k.run_id GROUP BY ALL
 """)
 
 
+def _a6(s, d):
+    """The history written in three segments, two of them merged, and one year read back, by month of the run."""
+    place = f"{shared_folder(s)}/store-{uuid4().hex}"
+    runs, jobs, steps = (checkpoint(table(s, d)) for table in (history.runs, history.jobs, history.steps))
+    for part in range(3):
+        own = runs.filter(F.col("run_id") % 3 == part)
+        of_runs = jobs.join(own.select("run_id"), "run_id", "left_semi")
+        store.append(s, place, own, of_runs, steps.join(of_runs.select("job_id"), "job_id", "left_semi"))
+        if part == 1:
+            store.compact(s, place, fan=2)
+    now = store.read_store(s, place, dt.datetime(1997, 1, 1), dt.datetime(1998, 1, 1))
+    of_run = now["steps"].join(now["jobs"].select("job_id", "run_id"), "job_id").groupBy("run_id").agg(
+        F.countDistinct("job_id").alias("jobs"), F.count(F.lit(1)).alias("steps"))
+    return now["runs"].join(of_run, "run_id", "left").groupBy("workflow_id", F.date_format("created_at", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum("jobs"), F.lit(0)).alias("jobs"), F.coalesce(F.sum("steps"), F.lit(0)).alias("steps"),
+        F.max("head_sha").alias("last_sha"))
+
+
+Q["a6_stored_history"] = _a6
+O["a6_stored_history"] = sql("""
+, per_run AS (SELECT run_id, count(*) AS n FROM jobs GROUP BY run_id)
+SELECT workflow_id, strftime(created_at, '%Y-%m') AS month, count(*) AS runs, CAST(coalesce(sum(n), 0) AS BIGINT) AS jobs,
+  CAST(coalesce(3 * sum(n), 0) AS BIGINT) AS steps, max(head_sha) AS last_sha
+FROM listed l LEFT JOIN per_run p ON p.run_id = l.run_id
+WHERE created_at >= TIMESTAMP '1997-01-01' AND created_at < TIMESTAMP '1998-01-01' GROUP BY ALL
+""")
+
+
 def _mixed_labels(column):
     """Label sets by the run: known, by core suffix, self-hosted, unknown first, none."""
     options = [["windows-latest"], ["Windows-2022-8-cores"], ["macos-13-12-core", "ubuntu-latest"], ["big-box", "ubuntu-22.04"], ["x", "Self-Hosted"],
