@@ -3,94 +3,103 @@
 A source's rows are cut into blocks. Block j (from 0) of a source with share w of the mix is released at
 floor(j / w) and due at ceil((j + 1) / w); each slot of the mix takes the released block that is due first.
 With shares that sum to one, every block meets its deadline, so after any number of slots each source has had
-its share to within less than one block.
+its share to within less than one block. When a source runs out, the rest go on by their own weights, as a new
+phase that starts at that slot.
 
-Shares are whole parts, so the schedule of a set of sources repeats after as many slots as there are parts: one
-period is computed on the driver and the slot of any block follows from it. When a source runs out, the rest
-go on by their own parts, as a new phase. The driver thus sees counts per source and a period per phase, and
-rows find their slots in a map after they have been numbered within their source.
+Shares are ratios of whole numbers, exactly those of the weights that were given. The order of deadlines is one
+chain from slot to slot, so one task walks it: it holds a number or two per source, whatever the number of
+blocks, and streams out a row per block. Rows find their slots by join after they have been numbered within
+their source; texts are shuffled once.
 """
 
 import heapq
-from typing import NamedTuple
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.session import checkpoint
+
 _LEVEL = 256  # buckets that are summed up within one parent
+_BATCH = 1 << 16
+
 
+def whole_parts(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the ratio of the weights."""
+    exact = [Fraction(w) for w in weights]
+    common = lcm(*[w.denominator for w in exact])
+    return [int(w * common) for w in exact]
 
-class Phase(NamedTuple):
-    """Blocks ``first`` up to ``last`` of one source, in a schedule that starts at slot ``start``."""
-
-    first: int
-    last: int
-    start: int
-    period: int
-    places: list[int]
-
-
-def period(parts: list[int]) -> list[list[int]]:
-    """Slots within one period (sum of ``parts``) of each source's blocks, by earliest deadline first."""
-    total = sum(parts)
-    release = lambda i, j: j * total // parts[i]
-    deadline = lambda i, j: -(-(j + 1) * total // parts[i])
-    waiting = [(0, i, 0) for i in range(len(parts))]
-    ready, places = [], [[] for _ in parts]
-    heapq.heapify(waiting)
-    for slot in range(total):
-        while waiting and waiting[0][0] <= slot:
-            _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(i, j), i, j))
-        due, i, j = heapq.heappop(ready)
-        assert slot < due, "a block missed its deadline"
-        places[i].append(slot)
-        if j + 1 < parts[i]:
-            heapq.heappush(waiting, (release(i, j + 1), i, j + 1))
-    return places
-
-
-def phases(blocks: list[int], parts: list[int]) -> list[list[Phase]]:
-    """Phases per source until all ``blocks`` are placed. Slots are dense from 0."""
-    done, start = [0] * len(blocks), 0
-    out: list[list[Phase]] = [[] for _ in blocks]
+
+def schedule(blocks: list[int], parts: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, block) of slot after slot, by earliest deadline first, until all blocks are placed."""
+    done = [0] * len(blocks)
     active = [i for i, n in enumerate(blocks) if n]
     while active:
-        own = [parts[i] for i in active]
-        total, places = sum(own), period(own)
-        ends = []
-        for w, at, i in zip(own, places, active):
-            last = blocks[i] - done[i] - 1
-            ends.append(last // w * total + at[last % w] + 1)
-        length = min(ends)
-        for w, at, i in zip(own, places, active):
-            taken = length // total * w + sum(p < length % total for p in at)
-            if taken:
-                out[i].append(Phase(done[i], done[i] + taken, start, total, at))
-            done[i] += taken
-        start += length
+        total = sum(parts[i] for i in active)
+        # Block j of the phase has release j * total // part and deadline -(-(j + 1) * total // part).
+        ready = [(-(-total // parts[i]), i, 0) for i in active]
+        heapq.heapify(ready)
+        waiting: list[tuple[int, int, int]] = []
+        slot, ended = 0, False
+        while not ended:
+            while waiting and waiting[0][0] <= slot:
+                _, i, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * total // parts[i]), i, j))
+            due, i, j = heapq.heappop(ready)
+            assert slot < due, "a block missed its deadline"
+            yield i, done[i]
+            done[i] += 1
+            slot += 1
+            ended = done[i] == blocks[i]
+            if not ended:
+                heapq.heappush(waiting, ((j + 1) * total // parts[i], i, j + 1))
         active = [i for i in active if done[i] < blocks[i]]
-    return out
 
 
-def whole_parts(weights: list[float], quantum: int) -> list[int]:
-    """Parts of about ``quantum`` in all, one at least for each."""
-    total = sum(weights) or 1
-    return [max(1, round(quantum * w / total)) for w in weights]
+def _walked(weights: dict[str, float], alpha: float, block_rows: int):
+    """All sources of one task to the slots of their blocks, in batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sources = pd.concat(list(batches)).sort_values("_source")
+        names, counts = sources["_source"].to_numpy(object), [int(n) for n in sources["n"]]
+        parts = whole_parts([float(weights.get(name, n**alpha)) for name, n in zip(names, counts)]) if counts else []
+        if any(p <= 0 for p in parts):
+            raise ValueError("target weights must be positive")
+        first, before, own = 0, 0, []
+
+        def out():
+            places = np.array(own, np.int64).reshape(-1, 3)
+            return pd.DataFrame({"_source": names[places[:, 0]], "block": places[:, 1], "slot": np.arange(first, first + len(own)), "_before": places[:, 2]})
+
+        for i, block in schedule([-(-n // block_rows) for n in counts], parts):
+            own.append((i, block, before))
+            before += min(block_rows, counts[i] - block * block_rows)
+            if len(own) == _BATCH:
+                yield out()
+                first, own = first + _BATCH, []
+        if own:
+            yield out()
+
+    return run
 
 
-def _numbered(rows: DataFrame, rows_per_bucket: int) -> DataFrame:
-    """Adds ``_rank`` (from 0) within ``_source`` by hash.
+def _numbered(rows: DataFrame, rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets (_source, _bucket, n, _first) and the rows with their ``_bucket`` and their place ``_own`` in it, from 1.
 
-    A source is cut into hash buckets of bounded size; rows are numbered within their bucket, and counts of
-    the buckets before come from sums by level, so no task sees a whole source.
+    A source is cut into hash buckets of bounded size; rows are numbered within their bucket, and ``_first``, the
+    rows of the buckets before, comes from sums by level, so no task sees a whole source.
     """
     n = rows.count()
     levels = 1
     while n > rows_per_bucket * _LEVEL**levels and levels < 7:
         levels += 1
     bucket = F.shiftrightunsigned("_hash", 64 - 8 * levels)
-    buckets = rows.groupBy("_source", bucket.alias("_bucket")).agg(F.count("*").alias("n"))
+    buckets = checkpoint(rows.groupBy("_source", bucket.alias("_bucket")).agg(F.count("*").alias("n")))
     offsets = buckets.select("_source", "_bucket", F.lit(0).cast("bigint").alias("_before"))
     for level in range(1, levels + 1):
         up = 8 * (levels - level)
@@ -103,55 +112,37 @@ def _numbered(rows: DataFrame, rows_per_bucket: int) -> DataFrame:
         )
     own = Window.partitionBy("_source", "_bucket").orderBy("_hash", F.asc_nulls_last("doc_id"))
     ranked = rows.withColumn("_bucket", bucket).withColumn("_own", F.row_number().over(own))
-    return ranked.join(offsets, ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1).drop("_own", "_before", "_bucket")
+    firsts = buckets.join(offsets, ["_source", "_bucket"]).withColumnRenamed("_before", "_first")
+    return checkpoint(firsts.select("_source", "_bucket", "n", "_first")), ranked
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: float = 0.5, block_rows: int = 32,
-                quantum: int = 1000, max_sources: int = 1000, rows_per_bucket: int = 2048) -> DataFrame:
+                rows_per_bucket: int = 2048) -> DataFrame:
     """Adds to every row of ``docs`` (doc_id, source, any others) its place in the mix.
 
     ``weights`` are the targets of sources; those it leaves out, or all without it, get their number of rows to
-    the power ``alpha``. Targets become whole parts of about ``quantum`` in all. Adds block (of the source, from
-    0), slot (of the block in the mix, from 0), row_in_block, position (of the row in the mix, from 0). All rows
-    are placed. A null source counts as ''. Rows of a source follow a hash of all their columns; rows alike in
-    all of them are interchangeable and lie in one bucket. At most ``max_sources`` sources, else ValueError:
-    they bound what the driver and the broadcast hold. Names that ``docs`` has already are replaced.
+    the power ``alpha``. Adds block (of the source, from 0), slot (of the block in the mix, from 0), row_in_block,
+    position (of the row in the mix, from 0). All rows are placed, and any number of sources is. A null source
+    counts as ''. Rows of a source follow a hash of all their columns; rows alike in all of them are
+    interchangeable and lie in one bucket. A target that is not positive raises ValueError. Names that ``docs`` has
+    already are replaced.
     """
-    spark = docs.sparkSession
     docs = docs.drop("block", "slot", "row_in_block", "position")
     rows = docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_hash": F.xxhash64(*docs.columns)})
-    counted = rows.groupBy("_source").count().orderBy("_source").limit(max_sources + 1).collect()
-    if len(counted) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    counts = {r["_source"]: r["count"] for r in counted}
-    targets = [float((weights or {}).get(name, n**alpha)) for name, n in counts.items()]
-    if any(t <= 0 for t in targets):
+    bad = [name for name, weight in (weights or {}).items() if not weight > 0]
+    if bad:
         raise ValueError("target weights must be positive")
-    blocks = [-(-n // block_rows) for n in counts.values()]
-    plan = phases(blocks, whole_parts(targets, quantum))
-
-    def slot_of(own: list[Phase], block: int) -> int:
-        phase = next(p for p in own if p.first <= block < p.last)
-        turn, place = divmod(block - phase.first, len(phase.places))
-        return phase.start + turn * phase.period + phase.places[place]
-
-    # The last block of a source may be short; rows after it move up.
-    short = sorted((slot_of(own, b - 1), b * block_rows - n) for own, b, n in zip(plan, blocks, counts.values()) if b * block_rows > n)
-    schedule = spark.createDataFrame(
-        [(name, [tuple(p) for p in own]) for name, own in zip(counts, plan)],
-        "_source string, _phases array<struct<first: bigint, last: bigint, start: bigint, period: bigint, places: array<int>>>")
-    gaps = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(n).alias("n")) for s, n in short]) if short else None
-
-    numbered = _numbered(rows, rows_per_bucket).withColumns({
-        "block": F.floor(F.col("_rank") / block_rows), "row_in_block": (F.col("_rank") % block_rows).cast("int")})
-    placed = numbered.join(F.broadcast(schedule), "_source").withColumn(
-        "_phase", F.filter("_phases", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["last"]))[0])
-    turn = F.col("block") - F.col("_phase.first")
-    size = F.size("_phase.places")
-    placed = placed.withColumn("slot", F.col("_phase.start") + F.floor(turn / size) * F.col("_phase.period")
-                               + F.get("_phase.places", (turn % size).cast("int")))
-    moved = F.lit(0)
-    if gaps is not None:
-        moved = F.aggregate(gaps, F.lit(0), lambda n, g: n + F.when(g["slot"] < F.col("slot"), g["n"]).otherwise(0))
-    position = F.col("slot") * block_rows + F.col("row_in_block") - moved
-    return placed.withColumn("position", position.cast("bigint")).select(*docs.columns, "block", "slot", "row_in_block", "position")
+    counted = rows.groupBy("_source").agg(F.count("*").alias("n"))
+    slots = checkpoint(counted.coalesce(1).mapInPandas(
+        _walked(weights or {}, alpha, block_rows), "_source string, block bigint, slot bigint, _before bigint"))
+    # Per bucket the slots of the blocks that its rows are in, so that the rows stay where they are numbered.
+    buckets, numbered = _numbered(rows, rows_per_bucket)
+    block_of = lambda rank: F.floor(rank / block_rows)
+    blocks = buckets.select("_source", "_bucket", F.explode(F.sequence(block_of(F.col("_first")), block_of(F.col("_first") + F.col("n") - 1))).alias("block"))
+    own = blocks.join(slots, ["_source", "block"]).groupBy("_source", "_bucket").agg(
+        F.array_sort(F.collect_list(F.struct("block", "slot", "_before"))).alias("_blocks"))
+    placed = numbered.join(own.join(buckets.select("_source", "_bucket", "_first"), ["_source", "_bucket"]), ["_source", "_bucket"])
+    placed = placed.withColumn("_rank", F.col("_first") + F.col("_own") - 1).withColumn("block", block_of(F.col("_rank")))
+    at = F.get("_blocks", (F.col("block") - block_of(F.col("_first"))).cast("int"))
+    placed = placed.withColumns({"row_in_block": (F.col("_rank") % block_rows).cast("int"), "slot": at["slot"], "_at": at["_before"]})
+    return placed.withColumn("position", F.col("_at") + F.col("row_in_block")).select(*docs.columns, "block", "slot", "row_in_block", "position")

@@ -1,6 +1,7 @@
 """Top-k search, SimHash, mixing."""
 
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -97,13 +98,39 @@ def test_near_duplicates_edges(spark, frame, sentence):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def lags_stay_below_one(weights, slots):
+    """Whether each source is less than a block from its share of the given weights before and after each of its blocks."""
+    parts, done = mixing.whole_parts(weights), [0] * len(weights)
+    total = sum(parts)
+    assert all(Fraction(p, total) == Fraction(w) / sum(map(Fraction, weights)) for p, w in zip(parts[:50], weights))
+    for slot, (i, block) in zip(range(slots), mixing.schedule([10**7] * len(weights), parts)):
+        assert block == done[i]
+        if not (abs(block * total - slot * parts[i]) < total and abs((block + 1) * total - (slot + 1) * parts[i]) < total):
+            return False
+        done[i] += 1
+    return sum(done) == slots and all(abs(n * total - slots * p) < total for n, p in zip(done, parts))
+
+
 def test_pfair_keeps_every_lag_below_one():
-    for parts in ([1], [3, 1], [500, 300, 150, 49, 1], [7, 7, 7], [333, 333, 334]):
-        places, total = mixing.period(parts), sum(parts)
-        assert sorted(s for p in places for s in p) == list(range(total))
-        for w, own in zip(parts, places):
-            taken = np.cumsum(np.isin(np.arange(total), own))
-            assert np.abs(taken - (np.arange(total) + 1) * w / total).max() < 1
+    for weights in ([1.0], [3, 1], [0.5, 0.3, 0.15, 0.049, 0.001], [7, 7, 7], [Fraction(1, 3), Fraction(2, 3)], [0.9] + [0.1 / 900] * 900):
+        assert lags_stay_below_one(weights, 50_000)
+
+
+def test_a_million_slots_of_five_thousand_sources():
+    rng = random.Random(8)
+    weights = [rng.paretovariate(1.1) for _ in range(5000)]
+    assert lags_stay_below_one(weights, 1_000_000)
+
+
+def test_sources_that_run_out_leave_the_rest_to_their_weights():
+    weights, blocks = [0.6, 0.3, 0.1], [30, 400, 300]
+    order = [i for i, _ in mixing.schedule(blocks, mixing.whole_parts(weights))]
+    assert [order.count(i) for i in range(3)] == blocks
+    for names, begin, end in (((0, 1, 2), 0, max(s for s, i in enumerate(order) if i == 0) + 1),
+                              ((1, 2), max(s for s, i in enumerate(order) if i == 0) + 1, max(s for s, i in enumerate(order) if i == 1) + 1)):
+        for i in names:
+            taken = np.cumsum(np.array(order[begin:end]) == i)
+            assert np.abs(taken - np.arange(1, end - begin + 1) * weights[i] / sum(weights[k] for k in names)).max() < 1
 
 
 def test_mix_places_all_rows(spark, frame):
@@ -113,7 +140,7 @@ def test_mix_places_all_rows(spark, frame):
     rows += [(None, "same", "b")] * 40
     rng.shuffle(rows)
     docs = frame(rows)
-    found = mixing.mix_sources(docs, {"hot": 3.0, "b": 2.0}, block_rows=4, quantum=50, rows_per_bucket=1).toPandas().sort_values("position")
+    found = mixing.mix_sources(docs, {"hot": 3.0, "b": 2.0}, block_rows=4, rows_per_bucket=1).toPandas().sort_values("position")
     assert found.columns.tolist() == [c for c in docs.columns if c != "block"] + ["block", "slot", "row_in_block", "position"]
     assert found["position"].tolist() == list(range(len(rows)))
     assert sorted(found["doc_id"].fillna(-1)) == sorted(-1 if i is None else i for i, _, _ in rows)
@@ -121,7 +148,7 @@ def test_mix_places_all_rows(spark, frame):
     names = found["source"].fillna("")
     counts = names.value_counts().sort_index()
     blocks = [-(-n // 4) for n in counts]
-    targets = mixing.whole_parts([{"hot": 3.0, "b": 2.0}.get(s, n**0.5) for s, n in counts.items()], 50)
+    targets = [{"hot": 3.0, "b": 2.0}.get(s, n**0.5) for s, n in counts.items()]
     # While no source has run out, every prefix of slots follows the targets to less than one block.
     by_slot = names.groupby(found["slot"]).first()
     first_out = min(by_slot[by_slot == s].index.max() for s in counts.index)
@@ -130,5 +157,9 @@ def test_mix_places_all_rows(spark, frame):
         assert np.abs(taken - (np.arange(first_out + 1) + 1) * w / sum(targets)).max() < 1
     assert by_slot.index.tolist() == list(range(sum(blocks)))
     assert mixing.mix_sources(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="sources"):
-        mixing.mix_sources(docs, max_sources=2)
+    with pytest.raises(ValueError, match="positive"):
+        mixing.mix_sources(docs, {"b": 0.0})
+    # Some two thousand sources, one of them hot: every position once.
+    many = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'hot', concat('s', id % 2000)) AS source", "'slot' AS slot")
+    placed = mixing.mix_sources(many, block_rows=8, rows_per_bucket=64)
+    assert placed.agg({"position": "max"}).first()[0] == 59_999 and placed.select("position").distinct().count() == 60_000
