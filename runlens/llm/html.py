@@ -5,9 +5,11 @@ votes for generalised tag-class paths (positions dropped, digits in class names
 Spark. Every page is then read again with its host's winning path; a page without that path falls back to
 its own best container, so no page loses its text to the vote.
 
-The densest container need not be the whole article: a headline or a section may stand beside it. Within the article
-or main element around the winner, else within body, containers with mostly unlinked text of their own are kept too,
-if at least half of the pages with the winner have them and their text is not the same on every page.
+The densest container need not be the whole article: a headline or a section may stand beside it. Everything in the
+outermost article or main element around the winner is kept, but for what is furniture by element, role or name. Where
+there is no such element, containers within body with mostly unlinked text of their own are kept beside the winner,
+unless a host has the same text there on each of at least five different pages, or has that many and the container on
+one of them only.
 """
 
 import re
@@ -15,6 +17,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,7 @@ BLOCKS = CONTAINERS | frozenset(
     " hgroup hr li menu nav ol p pre summary table tbody tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template".split())
-DROPPED = RAW | frozenset(
-    "head nav header footer aside form dialog menu button select svg math canvas object audio video map label".split())
+DROPPED = RAW | frozenset("head nav header footer aside form dialog menu button select svg canvas audio video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu".split())
 # Words of class and id that mark menus, adverts, notices and reader comments.
 DROPPED_WORDS = frozenset(
@@ -37,10 +39,15 @@ DROPPED_WORDS = frozenset(
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar"
     " navigation breadcrumb breadcrumbs header masthead footer comment comments disqus respond reply replies share sharing"
     " social related recommended recommendations widget toolbar pagination pager".split())
+# A class such as post-header names a part of the article, other than post-comments.
+ARTICLE_WORDS = frozenset("article post entry content story".split())
+HEADING_WORDS = frozenset("header masthead banner".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
              "th": ("td", "th"), "option": ("option",)}
 CLOSING_STOPS = frozenset("ul ol dl table body div article section main".split())
 
+_HANDFUL = 5  # different pages
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
@@ -52,8 +59,16 @@ def _attributes(source: str) -> dict[str, str]:
     return {name.lower(): unescape(value.strip("\"'")) for name, value in _ATTRIBUTE.findall(source)}
 
 
-def _is_dropped(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in DROPPED:
+def _names_furniture(name: str) -> bool:
+    """Whether a class or id marks furniture: one of its parts does, or for the heading of an article one that is no heading."""
+    parts = re.findall(r"[a-z]+", name.lower())
+    found = DROPPED_WORDS.intersection(parts)
+    return bool(found - HEADING_WORDS if parts and parts[0] in ARTICLE_WORDS else found)
+
+
+def _is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """An article's own header belongs to it."""
+    if tag in DROPPED and not (tag == "header" and in_article):
         return True
     if not attributes or tag in ("html", "body"):
         return False
@@ -63,8 +78,7 @@ def _is_dropped(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if tag in ("main", "article"):
         return False
-    words = re.findall(r"[a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return not DROPPED_WORDS.isdisjoint(words)
+    return any(map(_names_furniture, f"{attributes.get('class', '')} {attributes.get('id', '')}".split()))
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
@@ -140,7 +154,8 @@ def blocks(html: str) -> Iterator[tuple[str, int, tuple[str, ...]]]:
             container = tag in CONTAINERS
             if container:
                 paths.append(f"{paths[-1]}>{_label(tag, attributes)}")
-            stack.append((tag, bool(stack and stack[-1][1]) or _is_dropped(tag, attributes), container))
+            dropped = bool(stack and stack[-1][1]) or _is_dropped(tag, attributes, any(outer[0] == "article" for outer in stack))
+            stack.append((tag, dropped, container))
             in_link += tag == "a"
     if block := flush():
         yield block
@@ -162,12 +177,11 @@ def _best(scores: dict[str, int]) -> str | None:
     return max(scores, key=lambda path: (scores[path], path), default=None)
 
 
-def _root(path: str) -> str:
-    """The article or main element nearest around a path (or the path itself), else its body."""
+def _scope(path: str) -> str | None:
+    """The outermost article or main element of a path, if any."""
     parts = path.split(">")
-    tags = [part.split(".")[0] for part in parts]
-    end = max((n for n, tag in enumerate(tags) if tag in ("article", "main")), default=tags.index("body") if "body" in tags else 0)
-    return ">".join(parts[: end + 1])
+    at = next((n for n, part in enumerate(parts) if part.split(".")[0] in ("article", "main")), None)
+    return None if at is None else ">".join(parts[: at + 1])
 
 
 def _own(found: list[tuple[str, int, tuple[str, ...]]]) -> dict[str, tuple[int, int, int]]:
@@ -184,16 +198,17 @@ def _text(html: str | None, winner: str | None, sections: Iterable[str] | None)
     path = winner
     if not any(winner in paths for _, _, paths in found):
         path = _best(_scores(found)) or "page"
-        root = _root(path)
-        sections = [p for p, (plain, linked, _) in _own(found).items() if plain > linked and f"{p}>".startswith(f"{root}>")]
-    beside = frozenset(() if sections is None else sections)
-    return "\n".join(text for text, _, paths in found if path in paths or paths[-1] in beside), path if found else None
+        sections = [p for p, (plain, linked, _) in _own(found).items() if plain > linked]
+    kept, beside = _scope(path), frozenset(() if sections is None else sections)
+    if kept is not None:
+        beside = frozenset()
+    return "\n".join(text for text, _, paths in found if (kept or path) in paths or paths[-1] in beside), path if found else None
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """Per host and generalised path, over the pages of the host: ``votes``, shares of page text; ``present``, pages that have
-    the path; ``pages``, those where it has text of its own, and of that text the characters outside (``plain``) and
-    inside links (``linked``) and the least and greatest hash (``low``, ``high``)."""
+    """Per host and generalised path, over the pages of the host: ``votes``, shares of page text, and of the path's own text
+    the characters outside (``plain``) and inside links (``linked``), the least and greatest hash (``low``, ``high``) and
+    ``seen``, a bit of 64 for each different page."""
 
     def run(batches):
         for batch in batches:
@@ -201,33 +216,30 @@ def votes(pages: DataFrame) -> DataFrame:
             for host, html in zip(batch["host"], batch["html"]):
                 found = list(blocks(html or ""))
                 scores, own = _scores(found), _own(found)
-                for path in {p for _, _, paths in found for p in paths}:
+                bit = 1 << zlib.crc32((html or "").encode("utf-8", "surrogatepass")) % 63
+                for path in scores.keys() | own.keys():
                     plain, linked, h = own.get(path, (0, 0, None))
-                    rows.append((host, path, scores.get(path, 0), 1, int(path in own), plain, linked, h, h))
-            counted = pd.DataFrame(rows, columns=["host", "path", "votes", "present", "pages", "plain", "linked", "low", "high"])
+                    rows.append((host, path, scores.get(path, 0), plain, linked, h, h, bit))
+            counted = pd.DataFrame(rows, columns=["host", "path", "votes", "plain", "linked", "low", "high", "seen"])
             counted = counted.astype({"low": "Int64", "high": "Int64"})
-            sums = dict.fromkeys(["votes", "present", "pages", "plain", "linked"], "sum")
-            yield counted.groupby(["host", "path"], as_index=False).agg({**sums, "low": "min", "high": "max"})
+            bits = lambda s: np.bitwise_or.reduce(s.to_numpy(np.int64))
+            yield counted.groupby(["host", "path"], as_index=False).agg(
+                {"votes": "sum", "plain": "sum", "linked": "sum", "low": "min", "high": "max", "seen": bits})
 
-    sums = ["votes", "present", "pages", "plain", "linked"]
     single = pages.select("host", "html").mapInPandas(
-        run, "host string, path string, votes bigint, present bigint, pages bigint, plain bigint, linked bigint, low bigint, high bigint")
-    return single.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in sums], F.min("low").alias("low"), F.max("high").alias("high"))
+        run, "host string, path string, votes bigint, plain bigint, linked bigint, low bigint, high bigint, seen bigint")
+    return single.groupBy("host", "path").agg(
+        *[F.sum(c).alias(c) for c in ("votes", "plain", "linked")], F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("seen").alias("seen"))
 
 
 def _layouts(counted: DataFrame) -> DataFrame:
     """(host, path, sections): the winning path of a host, and the paths beside it whose text belongs to the article."""
-
-    @F.pandas_udf("string")
-    def root(paths: pd.Series) -> pd.Series:
-        return paths.map(_root)
-
-    best = counted.filter("votes > 0").groupBy("host").agg(F.max(F.struct("votes", "path", "present")).alias("best"))
-    best = checkpoint(best.select("host", F.col("best.path").alias("winner"), F.col("best.present").alias("most")).withColumn("root", root("winner")))
-    # Text that is the same on every page belongs to the layout, and a path that few pages have is no part of the article.
+    best = checkpoint(counted.filter("votes > 0").groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best"), F.bit_or("seen").alias("all"))
+                      .select("host", F.col("best.path").alias("winner"), F.bit_count("all").alias("pages")))
+    # Text that is the same on each of several pages belongs to the layout.
     beside = counted.join(best, "host").filter(
-        "startswith(path || '>', root || '>') AND NOT startswith(path || '>', winner || '>') AND plain > linked"
-        " AND 2 * pages >= most AND (pages = 1 OR low != high)")
+        f"NOT startswith(path || '>', winner || '>') AND plain > linked"
+        f" AND (low != high OR bit_count(seen) < {_HANDFUL}) AND (bit_count(seen) > 1 OR pages < {_HANDFUL})")
     sections = beside.groupBy("host").agg(F.collect_set("path").alias("sections"))
     return best.join(sections, "host", "left").select("host", F.col("winner").alias("path"), "sections")
 
