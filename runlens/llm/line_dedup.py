@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from runlens.session import checkpoint
 
+_CHUNK = 128
 _FIRST = ["no_id", "doc_id", "text_hash", "line_no"]
 
 
@@ -44,40 +45,65 @@ def _halves(line: Column) -> Column:
     return F.array(*keys)
 
 
-def _meeting(lines: DataFrame) -> DataFrame:
+def _meeting(firsts: DataFrame) -> DataFrame:
     """Hashes ``h`` of lines that share a half with a different line."""
-    keys = lines.select("h", F.explode(_halves(F.col("line"))).alias("key"))
+    keys = firsts.filter("halves IS NOT NULL").select("h", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low != high").select("key")
     return keys.join(shared, "key", "left_semi").select("h").distinct()
 
 
+def _variants(lines: DataFrame) -> DataFrame:
+    """(h, variant, place) of every line (h, line): itself at place 0, and without each of its characters.
+
+    A text is hashed in chunks of ``_CHUNK`` characters, whose hashes with their numbers are combined. Without a
+    character, the chunks before its own stay, those after it move by one character, and only its own is cut: so
+    a variant costs a chunk and not a line, and a line as much as its length.
+    """
+    xor = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y))
+    hashed = lambda chunk, number: F.when(chunk == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(chunk, number))
+    once = lambda value: F.explode(F.array(value))  # noqa: E731  generated, so that it is not built again at every use
+    numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.length("line"), F.lit(1)) - 1) / _CHUNK).cast("int"))
+    # Each chunk with the character after it.
+    cut = lines.select("h", once(F.transform(numbers, lambda j: F.substring(F.col("line"), j * _CHUNK + 1, F.lit(_CHUNK + 1)))).alias("chunks"))
+    sides = cut.select("h", "chunks", once(F.struct(
+        F.transform("chunks", lambda c, j: hashed(F.substring(c, 1, _CHUNK), j)).alias("here"),
+        F.transform("chunks", lambda c, j: hashed(F.substring(c, 2, _CHUNK), j)).alias("moved"))).alias("s"))
+    each = sides.select("h", "s", F.posexplode("chunks").alias("j", "chunk"))
+    around = xor(F.slice("s.here", F.lit(1), F.col("j"))).bitwiseXOR(xor(F.slice("s.moved", F.col("j") + 2, F.size("s.moved"))))
+    bound = each.select("h", "j", "chunk", once(F.struct(around.alias("around"), F.when(F.col("j") == 0, xor(F.col("s.here"))).alias("own"))).alias("x"))
+    without = F.transform(F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(_CHUNK))), lambda i: F.struct(
+        F.col("x.around").bitwiseXOR(hashed(F.concat(F.substring(F.col("chunk"), F.lit(1), i - 1), F.substring(F.col("chunk"), i + 1, F.lit(_CHUNK))), F.col("j")))
+        .alias("variant"), (F.col("j") * _CHUNK + i).alias("place")))
+    whole = F.array(F.struct(F.col("x.own").alias("variant"), F.lit(0).alias("place")))
+    return bound.filter("chunk != ''").select("h", F.inline(F.when(F.col("j") == 0, F.concat(whole, without)).otherwise(without)))
+
+
 def _neighbours(lines: DataFrame) -> DataFrame:
     """(later, earlier): pairs of distinct lines (h, line, first) within one edit, a star per variant."""
-    line = F.col("line")
-    variants = F.transform(F.sequence(F.lit(1), F.length(line)), lambda i: F.struct(
-        F.xxhash64(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line)))).alias("variant"),
-        i.alias("place")))
-    own = F.array(F.struct(F.col("h").alias("variant"), F.lit(0).alias("place")))
-    stands = checkpoint(lines.select("h", F.inline(F.concat(own, variants))))
+    stands = checkpoint(_variants(lines.select("h", "line")))
     shared = stands.groupBy("variant").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low != high")
     met = checkpoint(stands.join(shared.select("variant"), "variant", "left_semi").join(lines.select("h", "first"), "h"))
 
     # One line per character of the alphabet at most.
     place = Window.partitionBy("variant", "place")
     earliest = F.min(F.struct("first", "h")).over(place)
-    replaced = met.filter("place > 0").select(F.col("h").alias("later"), earliest["h"].alias("earlier"))
+    replaced = met.filter("place > 0").select(F.col("h").alias("later"), earliest["h"].alias("earlier"), "place", F.lit(0).alias("longer"))
     whole = met.filter("place = 0").select("variant", F.col("h").alias("other"), F.col("first").alias("other_first"))
     longer = met.filter("place > 0").join(whole, "variant").filter("h != other")
     after = F.col("first") > F.col("other_first")
     inserted = longer.select(F.when(after, F.col("h")).otherwise(F.col("other")).alias("later"),
-                             F.when(after, F.col("other")).otherwise(F.col("h")).alias("earlier"))
-    pairs = replaced.filter("later != earlier").unionAll(inserted).distinct()
+                             F.when(after, F.col("other")).otherwise(F.col("h")).alias("earlier"), "place", F.when(after, 1).otherwise(2).alias("longer"))
+    pairs = replaced.filter("later != earlier").unionAll(inserted)
     texts = lines.select("h", "line")
     both = (
         pairs.join(texts.select(F.col("h").alias("later"), F.col("line").alias("a")), "later")
         .join(texts.select(F.col("h").alias("earlier"), F.col("line").alias("b")), "earlier")
     )
-    return both.filter(F.levenshtein("a", "b", 1) >= 0).select("later", "earlier")
+    # Equal but for the character at the place: one edit, told in one pass where a distance would take the square.
+    rest = lambda x: F.concat(F.substring(x, F.lit(1), F.col("place") - 1), F.substring(x, F.col("place") + 1, F.length(x)))
+    a, b = F.col("a"), F.col("b")
+    same = F.when(F.col("longer") == 0, rest(a) == rest(b)).when(F.col("longer") == 1, rest(a) == b).otherwise(a == rest(b))
+    return both.filter(same).select("later", "earlier")
 
 
 def dedup_lines(docs: DataFrame, *, least_chars: int = 16, near_chars: int = 32, keep_blank: bool = False,
@@ -87,7 +113,8 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 16, near_chars: int = 32,
     Lines are split at line feeds. A line is dropped if an equal line comes earlier, or, from ``near_chars``
     characters on, a line within one edit (a character replaced, inserted or deleted). It need not be a line
     that stays. Earlier means a smaller doc_id (null ids last), then a smaller hash of the text, then a smaller
-    line number. Lines of fewer than ``least_chars`` characters always stay, with ``keep_blank`` also those of white space. Adds n_lines and n_kept (0 for a
+    line number. Lines of fewer than ``least_chars`` characters always stay, with ``keep_blank`` also those of white
+    space. A line may be as long as a text; it costs as much as its length. Adds n_lines and n_kept (0 for a
     null text, which stays null); a text without lines left is empty. Rows alike in doc_id and text are one
     document and come out alike; other columns stay, names that ``docs`` has already are replaced.
 
@@ -95,13 +122,15 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 16, near_chars: int = 32,
     shuffle beyond.
     """
     lines = _lines(docs, least_chars, keep_blank)
-    firsts = checkpoint(lines.groupBy("h", "h2").agg(F.min(F.struct(*_FIRST)).alias("first")))
-    long = lines.filter(F.length("line") >= near_chars)
-    meeting = checkpoint(_meeting(long.select("h", "line")))
+    near = F.length("line") >= near_chars
+    firsts = checkpoint(lines.withColumn("halves", F.when(near, _halves(F.col("line")))).groupBy("h", "h2").agg(
+        F.min(F.struct(*_FIRST)).alias("first"), F.first("halves").alias("halves")))
+    meeting = checkpoint(_meeting(firsts))
+    firsts = firsts.drop("halves")
     if meeting.count() <= most_broadcast:
         meeting = F.broadcast(meeting)
     # Two different lines of one hash, should they occur, are left as they are.
-    texts = long.join(meeting, "h", "left_semi").select("h", "h2", "line").distinct()
+    texts = lines.filter(near).join(meeting, "h", "left_semi").select("h", "h2", "line").distinct()
     near = checkpoint(texts.join(firsts, ["h", "h2"]).select("h", "h2", "line", "first"))
     unlike = near.groupBy("h").count().filter("count > 1").select("h")
     near = checkpoint(near.join(unlike, "h", "left_anti"))

@@ -96,23 +96,24 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, folder, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+    kept = line_dedup.dedup_lines(_table(spark, folder, "documents"), least_chars=1, near_chars=16, keep_blank=True)
+    return kept.select("doc_id", "n_lines", "n_kept", "text")
 
 
-# Beside the definition: 32 characters and more, within one edit of an earlier line of that length.
+# Beside the definition: 16 characters and more, within one edit of an earlier line of that length.
 O["op8_line_dedup"] = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
     unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
 firsts AS (
-  SELECT line, length(line) AS l, min(doc_id * 1000000 + n) AS first FROM lines WHERE length(line) >= 16 GROUP BY line),
+  SELECT line, length(line) AS l, min(doc_id * 1000000 + n) AS first FROM lines WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]') GROUP BY line),
 near AS (
   SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON a.l BETWEEN b.l - 1 AND b.l + 1 AND a.first < b.first
-    AND a.l >= 32 AND b.l >= 32 AND (left(a.line, 16) = left(b.line, 16) OR right(a.line, 15) = right(b.line, 15))
+    AND a.l >= 16 AND b.l >= 16 AND (left(a.line, 8) = left(b.line, 8) OR right(a.line, 7) = right(b.line, 7))
   WHERE levenshtein(a.line, b.line) <= 1),
 kept AS (
   SELECT t.doc_id, t.n, t.line FROM lines t LEFT JOIN firsts f ON f.line = t.line
-  WHERE length(t.line) < 16 OR (f.first = t.doc_id * 1000000 + t.n AND t.line NOT IN (SELECT line FROM near)))
+  WHERE f.line IS NULL OR (f.first = t.doc_id * 1000000 + t.n AND t.line NOT IN (SELECT line FROM near)))
 SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, count(k.n) AS n_kept,
   coalesce(string_agg(k.line, chr(10) ORDER BY k.n), '') AS text
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id, d.text
