@@ -1,4 +1,10 @@
-"""Two-sample rank-sum test per key."""
+"""Two-sample rank-sum test per key.
+
+Where one sample is small and the other not, p is the share of 10,000 shuffles. A shuffle is drawn by counters:
+place i of shuffle d of a test is a hash of the test's seed, d and i, so every engine and every partitioning draws
+the same. Places are numbers of rows; each is looked up among the ranks of its key by join, in spans of numbers,
+so no row or task holds the ranks of a key.
+"""
 
 from functools import cache
 
@@ -6,12 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from runlens.operators.quantiles import below_counts
+from runlens.operators.quantiles import below_counts, histogram
+from runlens.session import checkpoint
 
 EXACT_MAX = 20
 SHUFFLES = 10_000
+SPANS = 4096  # of the row numbers of a key
+_BLOCK = 100  # shuffles that one row draws
 
 
 def rank_sum_u(df: DataFrame, keys: list[str], first: Column, value: str, bounded: bool = False) -> DataFrame:
@@ -108,64 +116,79 @@ def test_method(n1: Column, n2: Column) -> Column:
     )
 
 
-def permutation_share(counts: np.ndarray, size: int, u: float, seed: int) -> float:
-    """Share of random samples of ``size`` among tied ranks whose U does not exceed ``u``.
+def seed_of(*parts: str) -> Column:
+    """Seed of a test: its key, and whatever else tells it from others, as text."""
+    return F.concat_ws("|", *[F.col(p).cast("string") for p in parts])
+
+
+def _hashes(seed: Column, draw: Column, k: Column) -> Column:
+    """Digests of a shuffle; each gives two draws of 60 bits."""
+    return F.transform(F.sequence(F.lit(0), F.floor((k - 1) / 2).cast("int")), lambda j: F.md5(
+        F.concat_ws(":", seed, draw.cast("string"), j.cast("string"))))
+
+
+def _drawn(hashes: Column, k: Column, n: Column) -> Column:
+    """``k`` different row numbers below ``n``: each is drawn from the first n - k + i + 1, and where it is taken
+    already, the last of these takes its place (Floyd)."""
+
+    def step(taken, i):
+        part = F.substring(F.element_at(hashes, F.floor(i / 2).cast("int") + 1), 1 + 15 * (i % 2), F.lit(15))
+        last = n - k + i
+        # Bound by the outer transform, so that it is worked out once.
+        number = F.transform(F.array(F.conv(part, 16, 10).cast("bigint") % (last + 1)), lambda x: F.when(F.array_contains(taken, x), last).otherwise(x))
+        return F.concat(taken, number)
+
+    return F.aggregate(F.sequence(F.lit(0), k.cast("int") - 1), F.array().cast("array<bigint>"), step)
+
+
+def permutation_p(tests: DataFrame, ranked: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(keys, names, shuffled_p): for each test the share of shuffles whose U does not exceed its ``_u``.
 
-    ``counts`` are rows per distinct value in value order. The statistic is symmetric in the samples, so
-    only the smaller one is drawn: ``size`` distinct places per shuffle (Floyd's method), mapped to mid-ranks.
+    ``tests`` has keys, names, ``_k`` (the size of the smaller sample), ``_n`` (of both), ``_u`` and ``_seed``; ``ranked``
+    has keys, ``n``, ``below`` and ``total`` per distinct value. The statistic is symmetric in the samples, so only the
+    smaller one is drawn.
     """
-    ends = np.cumsum(counts)
-    n = int(ends[-1])
-    mid_ranks = ends - (counts - 1) / 2
-    rng = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
-    places = np.empty((SHUFFLES, size), dtype=np.int64)
-    for i in range(size):
-        last = n - size + i
-        draw = rng.integers(0, last + 1, SHUFFLES)
-        taken = (places[:, :i] == draw[:, None]).any(axis=1)
-        places[:, i] = np.where(taken, last, draw)
-    rank_sum = mid_ranks[np.searchsorted(ends, places, side="right")].sum(axis=1)
-    u1 = rank_sum - size * (size + 1) / 2
-    return float((np.minimum(u1, size * (n - size) - u1) <= u).mean())
-
-
-@F.pandas_udf(T.DoubleType())
-def permutation_p(counts: pd.Series, size: pd.Series, u: pd.Series, seed: pd.Series) -> pd.Series:
-    """p by 10,000 seeded shuffles; ``counts`` lists rows per distinct value in value order."""
-    rows = zip(counts, size, u, seed)
-    return pd.Series([permutation_share(np.asarray(c), int(k), x, int(s)) for c, k, x, s in rows], dtype="float64")
+    test = [*keys, *names]
+    blocks = tests.select(*test, "_k", "_u", "_seed", "_n", F.explode(F.sequence(F.lit(0), F.lit(SHUFFLES - 1), F.lit(_BLOCK))).alias("_block"))
+    # A test is one row, and its blocks go to different tasks. Their number is given, as blocks are small to read and
+    # slow to draw: partitions merged by size would leave one task.
+    parts = int(tests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = blocks.repartition(parts, *test, "_block").select("*", F.explode(F.sequence(F.col("_block"), F.col("_block") + _BLOCK - 1)).alias("_draw"))
+    # Generated, so that the fold finds the digests and does not make them again at every step.
+    hashed = draws.select("*", F.explode(F.array(_hashes(F.col("_seed"), F.col("_draw"), F.col("_k")))).alias("_hashes"))
+    number = F.explode(_drawn(F.col("_hashes"), F.col("_k"), F.col("_n"))).alias("_number")
+    width = lambda n: F.greatest(F.floor(n / SPANS), F.lit(1))
+    places = hashed.select(*test, "_k", "_u", "_n", "_draw", number)
+    places = places.withColumn("_span", F.floor(F.col("_number") / width(F.col("_n"))))
+    own = width(F.col("total"))
+    spans = ranked.join(tests.select(*keys).distinct(), keys, "left_semi").select(
+        *keys, "below", (F.col("below") + F.col("n")).alias("_end"), (F.col("below") + (F.col("n") + 1) / 2).alias("_rank"),
+        F.explode(F.sequence(F.floor(F.col("below") / own), F.floor((F.col("below") + F.col("n") - 1) / own))).alias("_span"))
+    met = places.join(spans, [*keys, "_span"]).filter("below <= _number AND _number < _end")
+    sums = met.groupBy(*test, "_k", "_u", "_n", "_draw").agg(F.sum("_rank").alias("_sum"))
+    u1 = F.col("_sum") - F.col("_k") * (F.col("_k") + 1) / 2
+    extreme = F.least(u1, F.col("_k") * (F.col("_n") - F.col("_k")) - u1) <= F.col("_u")
+    return sums.groupBy(*test).agg((F.count_if(extreme) / SHUFFLES).alias("shuffled_p"))
+
+
+def p_of_method(method: Column, n1: Column, n2: Column, u: Column, exact: Column, shuffled: Column) -> Column:
+    return (F.when(method == "none", 1.0).when(method == "exact", exact).when(method == "permutation", shuffled).otherwise(normal_p(n1, n2, u)))
 
 
 def rank_sum_test(df: DataFrame, keys: list[str], first: Column, value: str) -> DataFrame:
-    """U, the method its sizes call for, and the two-sided p per key."""
-    spark = df.sparkSession
-    stats = (
-        rank_sum_u(df, keys, first, value)
-        .withColumn("method", test_method(F.col("n1"), F.col("n2")))
-        .withColumn("u_floor", F.floor("u"))
-    )
+    """U, the method its sizes call for, and the two-sided p per key.
+
+    Statistics are made once and written, as three things read them: the exact table, the shuffles and the result.
+    """
     n1, n2, u = F.col("n1"), F.col("n2"), F.col("u")
-    settled = (
-        stats.filter("method <> 'permutation'")
-        .join(F.broadcast(exact_table(spark)), ["n1", "n2", "u_floor"], "left")
-        .withColumn("p_value", F.when(F.col("method") == "none", 1.0)
-                    .when(F.col("method") == "exact", F.col("exact_p"))
-                    .otherwise(normal_p(n1, n2, u)))
-        .drop("exact_p")
-    )
-    # Shuffling needs the tied ranks of a key: its value counts, for the keys with one small sample only.
+    stats = checkpoint(rank_sum_u(df, keys, first, value).withColumn("method", test_method(n1, n2)))
     small = stats.filter("method = 'permutation'")
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(small.select(*keys), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct(value, "n"))), lambda x: x["n"]).alias("_counts"))
-    )
-    shuffled = (
-        small.join(counts, keys)
-        .withColumn("p_value", permutation_p("_counts", F.least(n1, n2), u, F.xxhash64(*keys)))
-        .drop("_counts")
-    )
-    return settled.unionByName(shuffled).drop("u_floor")
+    found = stats.withColumn("u_floor", F.floor("u")).join(F.broadcast(exact_table(df.sparkSession)), ["n1", "n2", "u_floor"], "left")
+    shuffled = F.lit(None).cast("double")
+    if not small.isEmpty():
+        hist = histogram(df.join(small.select(*keys), keys, "left_semi"), keys, value)
+        tests = small.select(*keys, F.least(n1, n2).alias("_k"), (n1 + n2).alias("_n"), u.alias("_u"), seed_of(*keys).alias("_seed"))
+        shares = permutation_p(tests, checkpoint(below_counts(hist, keys, value, bounded=False)), keys, [])
+        found, shuffled = found.join(shares, keys, "left"), F.col("shuffled_p")
+    found = found.withColumn("p_value", p_of_method(F.col("method"), n1, n2, u, F.col("exact_p"), shuffled))
+    return found.select(*keys, "n1", "n2", "u", "method", "p_value")

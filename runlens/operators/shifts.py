@@ -3,8 +3,8 @@
 A series is cut into pieces of consecutive points (see ``series.pieces``) and each piece is folded on its
 own with native higher-order functions. The state after a detection depends on the detection alone, so a
 piece entered with a guessed state soon agrees with the true run. Pieces whose true entry state differs
-from the one they were folded with are folded again until none is left, which gives exactly the result
-of one pass over the whole series.
+from the one they were folded with are folded again until none is left. That is the result of one pass over the
+whole series, but for points within rounding of the threshold, as sums are taken in another order.
 """
 
 import numpy as np
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.outliers import clamp, clamp_limits
-from runlens.operators.quantiles import histogram
-from runlens.operators.rank_test import EXACT_MAX, exact_table, normal_p, permutation_share, test_method, u_statistic
+from runlens.operators.quantiles import below_counts, histogram
+from runlens.operators.rank_test import exact_table, p_of_method, permutation_p, seed_of, test_method, u_statistic
 from runlens.operators.series import PIECE_ROWS, SLICE_SECONDS, pieces, positions
 from runlens.session import checkpoint
 
@@ -248,8 +248,7 @@ def cusum(
     )
 
 
-SPLIT = ("array<struct<idx:bigint,before_sum:double,before_sq:double,rank_sum:double,overlap:double,"
-         "shuffled_p:double>>")
+SPLIT = "array<struct<idx:bigint,before_sum:double,before_sq:double,rank_sum:double,overlap:double>>"
 
 
 def _percentile(domain: np.ndarray, ends: np.ndarray, p: float) -> float:
@@ -259,7 +258,7 @@ def _percentile(domain: np.ndarray, ends: np.ndarray, p: float) -> float:
     return low + (at - int(at)) * (high - low)
 
 
-def describe_splits(values, start, idxs, seeds, domain, total, base) -> list[dict]:
+def describe_splits(values, start, idxs, domain, total, base) -> list[dict]:
     """What each index splits a series into, from one piece and counts per distinct value.
 
     ``total`` and ``base`` count, per value of ``domain``, the rows of the whole series and those before
@@ -271,7 +270,7 @@ def describe_splits(values, start, idxs, seeds, domain, total, base) -> list[dic
     squares = (domain - (domain @ total) / n) ** 2
     place = np.searchsorted(domain, values)
     counts, done, out = base.astype(np.int64), 0, []
-    for idx, seed in zip(idxs, seeds):
+    for idx in idxs:
         upto = int(idx - start)
         counts = counts + np.bincount(place[done:upto], minlength=len(domain))
         done = upto
@@ -282,24 +281,19 @@ def describe_splits(values, start, idxs, seeds, domain, total, base) -> list[dic
             q1, q3 = _percentile(domain, before, 0.25), _percentile(domain, before, 0.75)
             inside = (domain >= q1) & (domain <= q3)
             overlap = float((total - counts)[inside].sum()) / (n - int(idx))
-        shuffled = None
-        small = int(min(idx, n - idx))
-        if 0 < small <= EXACT_MAX < n:
-            u1 = rank_sum - idx * (idx + 1) / 2
-            shuffled = permutation_share(total, small, min(u1, idx * (n - idx) - u1), int(seed))
         out.append({"idx": int(idx), "before_sum": float(domain @ counts), "before_sq": float(squares @ counts),
-                    "rank_sum": rank_sum, "overlap": overlap, "shuffled_p": shuffled})
+                    "rank_sum": rank_sum, "overlap": overlap})
     return out
 
 
 def _describe(batches):
     for batch in batches:
         rows = [
-            describe_splits(np.asarray(r.values), r.start, r.idxs, r.seeds, np.asarray(r.domain), np.asarray(r.total),
+            describe_splits(np.asarray(r.values), r.start, r.idxs, np.asarray(r.domain), np.asarray(r.total),
                             np.asarray(r.base))
             for r in batch.itertuples(index=False)
         ]
-        kept = batch.drop(columns=["values", "idxs", "seeds", "domain", "total", "base", "start"])
+        kept = batch.drop(columns=["values", "idxs", "domain", "total", "base", "start"])
         yield kept.assign(splits=pd.Series(rows, index=batch.index, dtype=object))
 
 
@@ -356,7 +350,6 @@ def shift_report(
         "start",
         F.slice("raw", F.lit(1), F.col("own")).alias("values"),
         F.transform("hits", lambda h: h["idx"]).alias("idxs"),
-        F.transform("hits", lambda h: F.xxhash64(*keys, h["idx"])).alias("seeds"),
         "domain",
         "total",
         "base",
@@ -387,10 +380,11 @@ def shift_report(
         ).alias("_sq"),
         centre.alias("_centre"),
     )
-    return _evidence(each.join(whole, keys), keys, min_segment)
+    values = _own_values(chunks, keys, value)
+    return _evidence(each.join(whole, keys), values, keys, value, min_segment)
 
 
-def _evidence(each: DataFrame, keys: list[str], min_segment: int) -> DataFrame:
+def _evidence(each: DataFrame, values: DataFrame, keys: list[str], value: str, min_segment: int) -> DataFrame:
     spark = each.sparkSession
     idx, rows = F.col("idx"), F.col("rows")
     split, following = F.col("_at.splits"), F.col("_next.splits")
@@ -411,7 +405,6 @@ def _evidence(each: DataFrame, keys: list[str], min_segment: int) -> DataFrame:
         ((F.col("_sum") - split["before_sum"]) / (rows - idx)).alias("after_mean"),
         u_statistic(idx, rows - idx, split["rank_sum"]).alias("u"),
         split["overlap"].alias("overlap"),
-        split["shuffled_p"].alias("_shuffled_p"),
         seg_n.alias("post_runs"),
         F.when(seg_sum == 0, 0.0)
         .when(seg_n < 2, 0.0)
@@ -420,19 +413,19 @@ def _evidence(each: DataFrame, keys: list[str], min_segment: int) -> DataFrame:
     )
     n1, n2, u = F.col("n_before"), F.col("n_after"), F.col("u")
     before, after = F.col("before_mean"), F.col("after_mean")
+    measured = checkpoint(measured.withColumn("method", test_method(n1, n2)))
+    tests = measured.filter("method = 'permutation'").select(
+        *keys, "idx", F.least(n1, n2).alias("_k"), (n1 + n2).alias("_n"), u.alias("_u"), seed_of(*keys, "idx").alias("_seed"))
+    shuffled = F.lit(None).cast("double")
+    if not tests.isEmpty():
+        hist = histogram(values.join(tests.select(*keys).distinct(), keys, "left_semi"), keys, value)
+        shares = permutation_p(tests, checkpoint(below_counts(hist, keys, value, bounded=False)), keys, ["idx"])
+        measured, shuffled = measured.join(shares, [*keys, "idx"], "left"), F.col("shuffled_p")
+    exact = F.broadcast(exact_table(spark).withColumnsRenamed({"n1": "n_before", "n2": "n_after"}))
     return (
-        measured.withColumn("method", test_method(n1, n2))
-        .withColumn("u_floor", F.floor("u"))
-        .join(
-            F.broadcast(exact_table(spark).withColumnsRenamed({"n1": "n_before", "n2": "n_after"})),
-            ["n_before", "n_after", "u_floor"], "left",
-        )
-        .withColumn(
-            "p_value",
-            F.when(F.col("method") == "exact", F.col("exact_p"))
-            .when(F.col("method") == "permutation", F.col("_shuffled_p"))
-            .otherwise(normal_p(n1, n2, u)),
-        )
+        measured.withColumn("u_floor", F.floor("u"))
+        .join(exact, ["n_before", "n_after", "u_floor"], "left")
+        .withColumn("p_value", p_of_method(F.col("method"), n1, n2, u, F.col("exact_p"), shuffled))
         .withColumn("pct_change", F.when(before == 0, 0.0).otherwise((after - before) / before * 100))
         .withColumn("direction", F.when(F.col("pct_change") < 0, "speedup").otherwise("slowdown"))
         .withColumn(
@@ -441,5 +434,5 @@ def _evidence(each: DataFrame, keys: list[str], min_segment: int) -> DataFrame:
             .when(F.col("_next_down") != F.col("_down"), "transient")
             .otherwise("persistent"),
         )
-        .drop("u_floor", "exact_p", "_shuffled_p", "_down", "_next_down")
+        .drop("u_floor", "exact_p", "shuffled_p", "_down", "_next_down")
     )

@@ -87,13 +87,49 @@ def test_exact_table_matches_enumeration():
             assert table[(n1, n2, u)] == pytest.approx(sum(x <= u for x in us) / len(us))
 
 
-def test_shuffles_agree_with_exact_and_repeat():
+def test_shuffles_agree_with_exact_and_repeat(spark):
     table = rank_test._exact_shares().set_index(["n1", "n2", "u_floor"])["exact_p"]
-    for n1, n2, u in [(5, 12, 12), (8, 10, 20), (3, 9, 4)]:
-        got = rank_test.permutation_share(np.ones(n1 + n2, dtype=int), n1, u, seed=11)
-        p = table[(n1, n2, u)]
-        assert abs(got - p) <= 3 * math.sqrt(p * (1 - p) / rank_test.SHUFFLES)
-        assert got == rank_test.permutation_share(np.ones(n1 + n2, dtype=int), n1, u, seed=11)
+    cases = [(5, 12, 12), (8, 10, 20), (3, 9, 4), (1, 6, 1), (9, 9, 30)]
+    ranked = spark.createDataFrame([(c, v, 1, v, n1 + n2) for c, (n1, n2, _) in enumerate(cases) for v in range(n1 + n2)],
+                                   "case int, v int, n bigint, below bigint, total bigint")
+    tests = spark.createDataFrame([(c, t, n1, n1 + n2, float(u), f"{c}|{t}") for c, (n1, n2, u) in enumerate(cases) for t in range(2)],
+                                  "case int, test int, _k bigint, _n bigint, _u double, _seed string")
+    shares = [{(r["case"], r["test"]): r["shuffled_p"] for r in rank_test.permutation_p(t, ranked, ["case"], ["test"]).collect()}
+              for t in (tests, tests.repartition(7))]
+    assert shares[0] == shares[1] and len(shares[0]) == 2 * len(cases)
+    for c, case in enumerate(cases):
+        p = table[case]
+        for t in range(2):
+            assert abs(shares[0][c, t] - p) <= 3.5 * math.sqrt(p * (1 - p) / rank_test.SHUFFLES)
+        assert shares[0][c, 0] != shares[0][c, 1]
+
+
+def test_draws_are_different_numbers_and_even(spark):
+    rows = spark.range(3000).select(F.col("id").alias("d"), F.lit(7).alias("k"), F.lit(23).alias("n"))
+    rows = rows.withColumn("h", rank_test._hashes(F.lit("seed"), F.col("d"), F.col("k")))
+    drawn = [r[0] for r in rows.select(rank_test._drawn(F.col("h"), F.col("k"), F.col("n"))).collect()]
+    assert all(len(set(x)) == 7 and set(x) <= set(range(23)) for x in drawn)
+    pairs = np.zeros((23, 23))
+    for x in drawn:
+        pairs[np.ix_(x, x)] += 1
+    single, expected = np.diag(pairs), 3000 * 7 / 23
+    assert ((single - expected) ** 2 / expected).sum() < 60
+    together, wanted = pairs[np.triu_indices(23, 1)], 3000 * 7 * 6 / (23 * 22)
+    assert ((together - wanted) ** 2 / wanted).sum() < 253 + 5 * math.sqrt(2 * 253)
+
+
+def test_ranks_of_a_large_tied_key(spark):
+    """Spans of row numbers: one value with most of the rows, and as many distinct ones as rows."""
+    ties = spark.createDataFrame([("t", 1.0, 50_000, 0, 60_000), ("t", 2.0, 10_000, 50_000, 60_000)], "k string, v double, n bigint, below bigint, total bigint")
+    many = spark.range(60_000).select(F.lit("m").alias("k"), F.col("id").cast("double").alias("v"), F.lit(1).cast("bigint").alias("n"),
+                                      F.col("id").alias("below"), F.lit(60_000).cast("bigint").alias("total"))
+    tests = spark.createDataFrame([("t", 3, 60_000, 40_000.0, "x"), ("m", 3, 60_000, 40_000.0, "y")], "k string, _k bigint, _n bigint, _u double, _seed string")
+    found = {r["k"]: r["shuffled_p"] for r in rank_test.permutation_p(tests, ties.unionAll(many), ["k"], []).collect()}
+    # U is at most 40,000 of 180,000 when the mean of three ranks is far out; for ties it takes three rows of the rarer value.
+    assert abs(found["t"] - (1 / 6) ** 3) < 0.006
+    rng = np.random.default_rng(1)
+    u = rng.integers(0, 60_000, (200_000, 3)).sum(axis=1)
+    assert abs(found["m"] - np.mean(np.minimum(u, 180_000 - u) <= 40_000)) < 0.02
 
 
 def test_a_crowded_range_is_cut(spark):

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from runlens.functions.grading import shift_severity
 from runlens.functions.names import last_segment, stage_name
 from runlens.operators import changes, rank_test, shifts, stages
 from runlens.sources import sample_history as history
@@ -71,6 +70,23 @@ evidence AS MATERIALIZED (SELECT t.*, h.down, id, CASE WHEN n1 < 4 THEN 0 ELSE o
 """
 
 
+def permutation_sql(tests: str, ranks: str) -> str:
+    """Permutation p as ``shuffled`` (seed, p): of ``tests`` (k, seed, m, n, u), drawing m of the n rows of ``ranks`` (k, number, mid)."""
+    digits = "CAST('0x' || substr(md5(seed || ':' || d || ':' || i // 2), CAST(1 + 15 * (i % 2) AS BIGINT), 15) AS BIGINT)"
+    return f"""
+, asked AS MATERIALIZED ({tests}),
+drawn AS (SELECT k, seed, m, n, u, d, list({digits} % (n - m + i + 1) ORDER BY i) AS numbers
+  FROM asked, range(10000) AS t(d), range(20) AS p(i) WHERE i < m GROUP BY ALL),
+picked AS (SELECT k, seed, m, n, u, d, list_reduce(
+    list_prepend(CAST([] AS BIGINT[]), list_transform(range(len(numbers)), lambda i: [numbers[i + 1], n - m + i])),
+    lambda taken, x: list_append(taken, CASE WHEN list_contains(taken, x[1]) THEN x[2] ELSE x[1] END)) AS numbers FROM drawn),
+looked AS (SELECT k, seed, m, n, u, d, unnest(numbers) AS number FROM picked),
+shuffle_sums AS (SELECT l.seed, l.m, l.n, l.u, l.d, sum(r.mid) AS total FROM looked l JOIN ({ranks}) r ON r.k = l.k AND r.number = l.number GROUP BY ALL),
+shuffled AS MATERIALIZED (SELECT seed, avg(CASE WHEN least(u1, m * (n - m) - u1) <= u THEN 1e0 ELSE 0e0 END) AS p
+  FROM (SELECT *, total - m * (m + 1) / 2 AS u1 FROM shuffle_sums) GROUP BY 1)
+"""
+
+
 EVENT_SERIES = "SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, value AS v, event_id AS id FROM events"
 JOB_SERIES = """SELECT {'workflow_id': workflow_id, 'job': job} AS k,
   row_number() OVER (PARTITION BY workflow_id, job ORDER BY run_created, run_id, job_id) - 1 AS i, dur AS v, run_id AS id FROM ok_jobs WHERE dur > 0"""
@@ -131,6 +147,20 @@ ways AS (SELECT n, k AS n1, least(s - k * (k + 1) / 2, k * (n - k) - (s - k * (k
 exact AS (SELECT n, n1, u, sum(c) OVER (PARTITION BY n, n1 ORDER BY u) / sum(c) OVER (PARTITION BY n, n1) AS p FROM ways)
 """
 
+
+
+def shipped_sql(seed: str) -> str:
+    """``evidence`` with its p by the method that its sizes call for, as ``shipped``; ``seed`` names a test of evidence ``e``."""
+    return EXACT + permutation_sql(
+        f"SELECT k, {seed} AS seed, least(n1, n2) AS m, n1 + n2 AS n, u FROM evidence e WHERE method = 'permutation'",
+        "SELECT k, row_number() OVER (PARTITION BY k ORDER BY v) - 1 AS number, mid FROM ranked_rows") + f"""
+, shipped AS MATERIALIZED (SELECT e.*, CASE method WHEN 'exact' THEN x.p WHEN 'permutation' THEN s.p ELSE normal_p END AS p_value
+  FROM evidence e LEFT JOIN exact x ON x.n = e.n1 + e.n2 AND x.n1 = e.n1 AND x.u = floor(e.u) LEFT JOIN shuffled s ON s.seed = {seed})
+"""
+
+
+EVENT_SEED, JOB_SEED = "e.k || '|' || e.idx", "e.k.workflow_id || '|' || e.k.job || '|' || e.idx"
+
 Q["f3_rank_sum_u"] = lambda s, d: rank_test.rank_sum_u(samples(s, d), ["o_custkey"], _urgent(), "o_totalprice").select("o_custkey", "n1", "n2", r4("u", "u"))
 O["f3_rank_sum_u"] = RANKS + "SELECT o_custkey, n1, n2, round(CAST(u AS DOUBLE), 4) AS u FROM us"
 
@@ -156,7 +186,19 @@ def first_day_test(s, d):
     return rank_test.rank_sum_test(orders, ["month"], F.col("day") == 1, "o_totalprice")
 
 
-Q["f5_permutation_p"] = lambda s, d: first_day_test(s, d).select("month", "n1", "n2", "u", "method", "p_value")
+Q["f5_permutation_p"] = lambda s, d: first_day_test(s, d).select(
+    "month", "n1", "n2", r4("u", "u"), "method", F.when(F.col("method") == "permutation", F.round("p_value", 6)).alias("p_value"))
+O["f5_permutation_p"] = """
+WITH ranked AS MATERIALIZED (SELECT strftime(o_orderdate, '%Y-%m') AS k, day(o_orderdate) = 1 AS first,
+    row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_totalprice) - 1 AS number,
+    rank() OVER w + (count(*) OVER (PARTITION BY strftime(o_orderdate, '%Y-%m'), o_totalprice) - 1) / 2 AS mid
+  FROM orders WINDOW w AS (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_totalprice)),
+sums AS (SELECT k, count(*) FILTER (first) AS n1, count(*) FILTER (NOT first) AS n2, coalesce(sum(mid) FILTER (first), 0) AS r1 FROM ranked GROUP BY 1),
+us AS MATERIALIZED (SELECT *, CASE WHEN n1 = 0 OR n2 = 0 THEN 0 ELSE least(r1 - n1 * (n1 + 1) / 2, n1 * n2 - (r1 - n1 * (n1 + 1) / 2)) END AS u,
+    CASE WHEN n1 = 0 OR n2 = 0 THEN 'none' WHEN n1 + n2 <= 20 THEN 'exact' WHEN least(n1, n2) <= 20 THEN 'permutation' ELSE 'normal' END AS method FROM sums)
+""" + permutation_sql("SELECT k, k AS seed, least(n1, n2) AS m, n1 + n2 AS n, u FROM us WHERE method = 'permutation'", "SELECT k, number, mid FROM ranked") + """
+SELECT k AS month, n1, n2, round(CAST(u AS DOUBLE), 4) AS u, method, round(p, 6) AS p_value FROM us LEFT JOIN shuffled ON seed = k
+"""
 
 
 def event_test(s, d):
@@ -191,13 +233,13 @@ def _measured(df, *keys):
     return df.select(
         *keys, "idx", "n_before", "n_after", "direction", "method", "persistence", "post_runs",
         *[F.round(c, 6).alias(c) for c in ("before_mean", "after_mean", "pct_change", "u", "overlap", "post_cv")],
-        F.when(F.col("method") == "normal", F.round("p_value", 6)).alias("p_value"),
+        F.round("p_value", 6).alias("p_value"),
     )
 
 
 _MEASURED = """idx, n1 AS n_before, n2 AS n_after, direction, method, persistence, post_runs, round(before_mean, 6) AS before_mean,
   round(after_mean, 6) AS after_mean, round(pct_change, 6) AS pct_change, round(CAST(u AS DOUBLE), 6) AS u, round(overlap, 6) AS overlap,
-  round(post_cv, 6) AS post_cv, CASE WHEN method = 'normal' THEN round(normal_p, 6) END AS p_value"""
+  round(post_cv, 6) AS post_cv, round(CAST(p_value AS DOUBLE), 6) AS p_value"""
 
 def _f8(s, d, **more):
     return _measured(shifts.shift_report(events(s, d), ["event_type"], "ts", ["event_id"], "value", "event_id", **more), "event_type")
@@ -205,9 +247,11 @@ def _f8(s, d, **more):
 
 Q["f8_shift_report_events"] = _f8
 Q["f8_shift_report_in_pieces"] = lambda s, d: _f8(s, d, piece_rows=512)
-O["f8_shift_report_events"] = O["f8_shift_report_in_pieces"] = plain(shift_sql(EVENT_SERIES, 4.0) + f"SELECT k AS event_type, {_MEASURED} FROM evidence")
+O["f8_shift_report_events"] = O["f8_shift_report_in_pieces"] = plain(
+    shift_sql(EVENT_SERIES, 4.0) + shipped_sql(EVENT_SEED) + f"SELECT k AS event_type, {_MEASURED} FROM shipped")
 Q["f8_change_points"] = lambda s, d: _measured(points(s, d), "workflow_id", "job")
-O["f8_change_points"] = sql(shift_sql(JOB_SERIES, 4.0) + f"SELECT k.workflow_id AS workflow_id, k.job AS job, {_MEASURED} FROM evidence")
+O["f8_change_points"] = sql(
+    shift_sql(JOB_SERIES, 4.0) + shipped_sql(JOB_SEED) + f"SELECT k.workflow_id AS workflow_id, k.job AS job, {_MEASURED} FROM shipped")
 Q["f9_post_segments"] = lambda s, d: points(s, d).select("workflow_id", "job", "idx", "post_runs", r4("post_cv", "post_cv"))
 O["f9_post_segments"] = sql(shift_sql(JOB_SERIES, 4.0) + "SELECT k.workflow_id AS workflow_id, k.job AS job, idx, post_runs, round(post_cv, 4) AS post_cv FROM evidence")
 Q["f10_persistence"] = lambda s, d: points(s, d).groupBy("workflow_id", "job", "persistence").agg(F.count(F.lit(1)).alias("shifts"))
@@ -215,12 +259,12 @@ O["f10_persistence"] = sql(shift_sql(JOB_SERIES, 4.0) + "SELECT k.workflow_id AS
 Q["f11_overlap"] = lambda s, d: points(s, d).select("workflow_id", "job", "idx", r4("overlap", "overlap"))
 O["f11_overlap"] = sql(shift_sql(JOB_SERIES, 4.0) + "SELECT k.workflow_id AS workflow_id, k.job AS job, idx, round(overlap, 4) AS overlap FROM evidence")
 
-GRADED = shift_sql(JOB_SERIES, 4.0) + """
+GRADED = shift_sql(JOB_SERIES, 4.0) + shipped_sql(JOB_SEED) + """
 , sized AS (SELECT e.k.workflow_id AS workflow_id, e.k.job AS job, e.*, l.created_at, l.head_sha, abs(after_mean - before_mean) AS delta,
     coalesce(n.name, 'workflow-' || e.k.workflow_id) AS workflow
-  FROM evidence e JOIN listed l ON l.run_id = e.id LEFT JOIN names n ON n.workflow_id = e.k.workflow_id),
-graded_points AS MATERIALIZED (SELECT *, CASE WHEN delta < 10 THEN 'info' WHEN normal_p < 0.01 AND abs(pct_change) >= 20 THEN 'critical'
-    WHEN normal_p < 0.05 AND abs(pct_change) >= 10 THEN 'warning' ELSE 'info' END AS severity FROM sized),
+  FROM shipped e JOIN listed l ON l.run_id = e.id LEFT JOIN names n ON n.workflow_id = e.k.workflow_id),
+graded_points AS MATERIALIZED (SELECT *, CASE WHEN delta < 10 THEN 'info' WHEN p_value < 0.01 AND abs(pct_change) >= 20 THEN 'critical'
+    WHEN p_value < 0.05 AND abs(pct_change) >= 10 THEN 'warning' ELSE 'info' END AS severity FROM sized),
 first_category AS (SELECT *, CASE WHEN severity = 'info' THEN 'minor'
     WHEN count(*) FILTER (WHERE severity <> 'info') OVER (PARTITION BY job) >= {oscillating} THEN 'oscillating'
     WHEN overlap > 0.5 THEN 'minor' WHEN direction = 'speedup' THEN 'speedup' ELSE 'regression' END AS c1 FROM graded_points),
@@ -230,23 +274,15 @@ categorized AS MATERIALIZED (SELECT *, CASE WHEN c1 = 'regression' AND persisten
 """
 
 
-def normal_points(s, d):
-    """Change points graded by the normal approximation throughout, which SQL can compute as well."""
-    df = points(s, d)
-    p = rank_test.normal_p(F.col("n_before"), F.col("n_after"), F.col("u"))
-    delta = F.abs(F.col("after_mean") - F.col("before_mean"))
-    return df.withColumn("p_value", p).withColumn("severity", shift_severity(F.col("p_value"), F.col("pct_change"), delta))
-
-
 def categorized(s, d, oscillating_min=3):
-    return changes.categorize(normal_points(s, d), oscillating_min)
+    return changes.categorize(points(s, d), oscillating_min)
 
 
 def graded_sql(oscillating: int, body: str) -> str:
     return sql(GRADED.replace("{oscillating}", str(oscillating)) + body)
 
 
-Q["f12_severity"] = lambda s, d: normal_points(s, d).select("workflow_id", "job", "idx", "severity")
+Q["f12_severity"] = lambda s, d: points(s, d).select("workflow_id", "job", "idx", "severity")
 O["f12_severity"] = graded_sql(3, "SELECT workflow_id, job, idx, severity FROM graded_points")
 Q["f13_categories"] = lambda s, d: categorized(s, d).select("workflow_id", "job", "idx", "severity", "category", stamp("created_at"), "head_sha")
 O["f13_categories"] = graded_sql(3, """SELECT workflow_id, job, idx, severity, category, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, head_sha

@@ -100,7 +100,7 @@ Q["h3_change_text"] = lambda s, d: make.change_findings(ch.categorized(s, d)).se
 O["h3_change_text"] = ch.graded_sql(3, f"""
 SELECT severity, 'Performance ' || direction || ' in job "' || job || '"' AS title,
   CASE WHEN round_even(pct_change, 0) = 0 THEN '0' ELSE {pct_sql('pct_change')} END || '% change at ' || strftime(created_at, '%Y-%m-%d') || ' (commit ' || substr(head_sha, 1, 8)
-  || '), before: ' || {text_sql('before_mean')} || ', after: ' || {text_sql('after_mean')} || ' (p=' || printf('%.4f', normal_p) || ')' AS description
+  || '), before: ' || {text_sql('before_mean')} || ', after: ' || {text_sql('after_mean')} || ' (p=' || printf('%.4f', p_value) || ')' AS description
 FROM categorized""")
 Q["h3_failure_text"] = lambda s, d: make.failure_findings(failures.drop_negligible(su.report(s, d)), history.workflows(s, d)).select(*_TITLES)
 O["h3_failure_text"] = sql(su.FAIL + f"""
@@ -283,7 +283,7 @@ O["i18_priority_findings"] = ch.graded_sql(99, co.COST + su.FAIL + SHARES + f"""
 mixes AS (SELECT workflow_id, ' (' || string_agg({pct_sql('pct')} || '% ' || category, ', ' ORDER BY place) || ')' AS mix FROM kept_shares WHERE k >= 2 GROUP BY 1)
 SELECT 1 AS section, 'REGRESSION' AS tag, job AS subject, CASE WHEN pct_change >= 0 THEN '+' ELSE '' END || {pct_sql('pct_change')} || '% (' || {compact_sql('before_mean')} || ' -> '
   || {compact_sql('after_mean')} || ') at commit `' || substr(head_sha, 1, 8) || '` on ' || strftime(created_at, '%Y-%m-%d')
-  || CASE WHEN persistence = 'persistent' THEN ' -- persistent over ' || post_runs || ' runs' ELSE '' END || ' (p=' || printf('%.4f', normal_p) || ')' AS text
+  || CASE WHEN persistence = 'persistent' THEN ' -- persistent over ' || post_runs || ' runs' ELSE '' END || ' (p=' || printf('%.4f', p_value) || ')' AS text
   FROM categorized WHERE category = 'regression' AND direction = 'slowdown'
 UNION ALL SELECT 2, CASE kind WHEN 'systematic' THEN 'SYSTEMATIC' ELSE 'FLAKY' END, coalesce(name, 'workflow-' || g.workflow_id),
   {pct_sql('failure_rate * 100')} || '% failure rate (' || failures || '/' || total_runs || ' runs)'
