@@ -3,34 +3,31 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.durations import micros
+from runlens.session import checkpoint
 
-SLICE_SECONDS = 3600
 PIECE_ROWS = 1 << 18
+MOST_PARTS = 100_000  # whose sizes are broadcast
 
 
-def positions(
-    df: DataFrame, keys: list[str], stamp: str, ties: list[str], slice_seconds: float = SLICE_SECONDS
-) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], stamp: str, ties: list[str]) -> DataFrame:
     """Adds ``pos``, the row's 0-based place in its series when ordered by ``stamp`` and ``ties``.
 
-    Rows are ranked within slices of time, and the rows of all earlier slices are added. A slice is the
-    largest piece one task sorts; a busier series needs shorter slices, not larger tasks.
+    Rows are dealt out by range of key, stamp and ties, with bounds that Spark samples, so tasks are even however
+    a series is spread over time; even one moment that holds a whole series is cut. A place is that in the sorted
+    partition plus the sizes of the parts of the series before it. The sorted rows are written first, since bounds
+    drawn anew would cut elsewhere.
     """
-    rows = df.withColumn("_slice", F.floor(micros(F.col(stamp)) / F.lit(slice_seconds * 1e6)))
-    offsets = (
-        rows.groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_in"))
-        .withColumn("_before", F.sum("_in").over(Window.partitionBy(*keys).orderBy("_slice")) - F.col("_in"))
-        .drop("_in")
-    )
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy(stamp, *ties)
-    return (
-        rows.withColumn("_local", F.row_number().over(in_slice))
-        .join(offsets, [*keys, "_slice"])
-        .withColumn("pos", F.col("_before") + F.col("_local") - 1)
-        .drop("_slice", "_local", "_before")
-    )
+    order = [*keys, stamp, *ties]
+    rows = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)  # of the partition; the rest counts its rows
+    parts = rows.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_in"))
+    before = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = checkpoint(parts.select(*keys, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")))
+    # A row per partition and one per series more.
+    if parts.count() <= MOST_PARTS:
+        parts = F.broadcast(parts)
+    placed = rows.withColumn("_part", part).join(parts, [*keys, "_part"])
+    return placed.withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
 def pieces(series: DataFrame, keys: list[str], value: str, row_id: str, overlap: int, piece_rows: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from runlens.operators.outliers import clamp, clamp_limits
 from runlens.operators.quantiles import below_counts, histogram
 from runlens.operators.rank_test import exact_table, p_of_method, permutation_p, seed_of, test_method, u_statistic
-from runlens.operators.series import PIECE_ROWS, SLICE_SECONDS, pieces, positions
+from runlens.operators.series import PIECE_ROWS, pieces, positions
 from runlens.session import checkpoint
 
 THRESHOLD = 4.0
@@ -164,9 +164,11 @@ def _carry(chunks: DataFrame, stale: DataFrame, keys: list[str], threshold: floa
 def _limits(df: DataFrame, keys: list[str], value: str, m: int, clamp_k: float | None) -> DataFrame:
     """Per series: row count, clamp limits and the deviation of the whole (clamped) series."""
     hist = histogram(df, keys, value)
-    bounds = clamp_limits(hist, keys, value, clamp_k or 0.0)
     if clamp_k is None:
-        bounds = bounds.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
+        none = F.lit(None).cast("double")
+        bounds = hist.groupBy(*keys).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("centre")).select("*", none.alias("low"), none.alias("high"))
+    else:
+        bounds = clamp_limits(hist, keys, value, clamp_k, bounded=False)
     clamped = hist.join(bounds, keys).withColumn("_c", clamp(F.col(value), F.col("low"), F.col("high")))
     # Distances from a value inside the series: squares of the values themselves would cancel far from zero.
     n, c = F.col("n"), F.col("_c") - F.col("centre")
@@ -191,10 +193,10 @@ def _own_values(packed: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def _detect(
     df: DataFrame, keys: list[str], stamp: str, ties: list[str], value: str, row_id: str, threshold: float,
-    m: int, clamp_k: float | None, piece_rows: int, slice_seconds: float,
+    m: int, clamp_k: float | None, piece_rows: int,
 ) -> tuple[DataFrame, DataFrame]:
     """Pieces of every long enough series, and their detections."""
-    series = positions(df.select(*keys, *dict.fromkeys([stamp, *ties, value, row_id])), keys, stamp, ties, slice_seconds)
+    series = positions(df.select(*keys, *dict.fromkeys([stamp, *ties, value, row_id])), keys, stamp, ties)
     packed = pieces(series, keys, value, row_id, m - 1, piece_rows)
     # The series in order is written once. All that follows reads it and not the input again.
     packed = checkpoint(
@@ -234,10 +236,10 @@ def _detect(
 def cusum(
     df: DataFrame, keys: list[str], stamp: str, ties: list[str], value: str, row_id: str,
     threshold: float = THRESHOLD, min_segment: int = MIN_SEGMENT, clamp_k: float | None = None,
-    piece_rows: int = PIECE_ROWS, slice_seconds: float = SLICE_SECONDS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Change points per series: index, means since the last change and over the next points, direction."""
-    _, found = _detect(df, keys, stamp, ties, value, row_id, threshold, min_segment, clamp_k, piece_rows, slice_seconds)
+    _, found = _detect(df, keys, stamp, ties, value, row_id, threshold, min_segment, clamp_k, piece_rows)
     before, after = F.col("before_mean"), F.col("after_mean")
     return (
         found.select(*keys, F.inline("hits"))
@@ -322,7 +324,7 @@ def _piece_bases(chunks: DataFrame, keys: list[str]) -> DataFrame:
 def shift_report(
     df: DataFrame, keys: list[str], stamp: str, ties: list[str], value: str, row_id: str,
     threshold: float = THRESHOLD, min_segment: int = MIN_SEGMENT, clamp_k: float | None = CLAMP_K,
-    piece_rows: int = PIECE_ROWS, slice_seconds: float = SLICE_SECONDS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Change points with the evidence for them, measured on the raw values of the whole series.
 
@@ -330,7 +332,7 @@ def shift_report(
     series, so U at any index is a prefix sum of them.
     """
     chunks, found = _detect(
-        df, keys, stamp, ties, value, row_id, threshold, min_segment, clamp_k, piece_rows, slice_seconds
+        df, keys, stamp, ties, value, row_id, threshold, min_segment, clamp_k, piece_rows
     )
     place = [*keys, "piece"]
     hit = found.filter(F.size("hits") > 0).select(*place, "hits")

@@ -6,33 +6,33 @@ from pyspark.sql import functions as F
 from runlens.functions.durations import duration_s, seconds_between
 from runlens.functions.grading import volatility_label
 from runlens.functions.names import matrix_base
-from runlens.operators.quantiles import histogram, percentile_of, percentiles
+from runlens.operators.quantiles import histogram, percentile_of, percentiles, percentiles_of_histogram
 
 STATS = ["count", "mean", "median", "p95", "p99", "min", "max", "total", "volatility", "label"]
 
 
-def stats_of_histogram(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
+def stats_of_histogram(hist: DataFrame, keys: list[str], value: str, bounded: bool = True) -> DataFrame:
+    """Statistics per key. ``bounded`` is as for percentiles: without it no task holds the values of a key."""
     v, n = F.col(value), F.col("n")
-    raw = hist.groupBy(*keys).agg(
-        F.sum("n").alias("count"),
-        F.sum(v * n).alias("total"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        percentile_of(value, [50, 95, 99]).alias("_p"),
-    )
+    sums = [F.sum("n").alias("count"), F.sum(v * n).alias("total"), F.min(v).alias("min"), F.max(v).alias("max")]
+    if bounded:
+        raw = hist.groupBy(*keys).agg(*sums, percentile_of(value, [50, 95, 99]).alias("_p"))
+        raw = raw.withColumns({"median": F.col("_p")[0], "p95": F.col("_p")[1], "p99": F.col("_p")[2]})
+    else:
+        found = percentiles_of_histogram(hist, keys, value, {"median": 50, "p95": 95, "p99": 99}, bounded)
+        raw = hist.groupBy(*keys).agg(*sums).join(found.drop("rows"), keys)
     ratio = F.when(F.col("median") > 0, F.col("p95") / F.col("median")).otherwise(F.lit(0.0))
     return (
         raw.withColumn("mean", F.col("total") / F.col("count"))
-        .withColumns({"median": F.col("_p")[0], "p95": F.col("_p")[1], "p99": F.col("_p")[2]})
         .withColumn("volatility", ratio)
         .withColumn("label", volatility_label(F.col("volatility")))
         .select(*keys, *STATS)
     )
 
 
-def duration_stats(df: DataFrame, keys: list[str], value: str = "duration_s") -> DataFrame:
+def duration_stats(df: DataFrame, keys: list[str], value: str = "duration_s", bounded: bool = True) -> DataFrame:
     """Count, mean, percentiles, range, total and volatility of a value per key."""
-    return stats_of_histogram(histogram(df, keys, value), keys, value)
+    return stats_of_histogram(histogram(df, keys, value), keys, value, bounded)
 
 
 def job_facts(runs: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from runlens.operators import shifts
+from runlens.operators.series import positions
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -69,7 +70,7 @@ def test_pieces_do_not_change_the_result(spark):
     """Small pieces take the carrying and refolding path; quiet stretches span many of them."""
     rng = np.random.default_rng(4)
     groups = dict(GROUPS, quiet=list(np.concatenate([[1, 100, 1, 100, 50], 50 + rng.normal(0, 5, 300)])))
-    assert cusum(spark, groups, piece_rows=16, slice_seconds=600) == cusum(spark, groups)
+    assert cusum(spark, groups, piece_rows=16) == cusum(spark, groups)
 
 
 def test_offset_does_not_hide_a_shift(spark):
@@ -104,3 +105,21 @@ def test_report_matches_brute_force(spark):
     for a, b in zip(whole, pieces, strict=True):
         for name, value in a.asDict().items():
             assert b[name] == (pytest.approx(value, rel=1e-9, abs=1e-12) if isinstance(value, float) else value), name
+
+
+def test_one_busy_second_is_spread_over_tasks(spark):
+    """A series whose rows nearly all have one stamp: places are right and tasks even."""
+    rows = spark.range(40_000).selectExpr("'k' AS k", "timestamp_seconds(IF(id % 100 = 0, id, 1000000)) AS ts", "(id * 7919) % 40009 AS tie", "CAST(id AS double) AS v")
+    rows = rows.unionAll(rows.limit(50).selectExpr("'small' AS k", "ts", "tie", "v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = positions(rows, ["k"], "ts", ["tie"])
+        tasks = [n for n in placed.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) >= 4 and max(tasks) < 0.4 * sum(tasks)
+    found = placed.toPandas()
+    for k, n in (("k", 40_000), ("small", 50)):
+        own = found[found["k"] == k].sort_values(["ts", "tie"])
+        assert own["pos"].tolist() == list(range(n))
+    assert positions(rows.limit(0), ["k"], "ts", ["tie"]).count() == 0

@@ -13,7 +13,7 @@ POINTS = {"p25": 25, "p50": 50, "p95": 95, "p99": 99}
 _POINTS_SQL = """round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS p50,
   round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99"""
 
-Q["c1_percentiles_events"] = lambda s, d: quantiles.percentiles(events(s, d), ["event_type"], "value", POINTS).select(
+Q["c1_percentiles_events"] = lambda s, d: quantiles.percentiles(events(s, d), ["event_type"], "value", POINTS, bounded=False).select(
     "event_type", *[r4(p, p) for p in POINTS]
 )
 Q["c1_sliced_percentiles_events"] = lambda s, d: quantiles.percentiles(
@@ -61,12 +61,12 @@ Q["c4_duration_stats_workflows"] = lambda s, d: _stats_out(
     summary.duration_stats(timed_runs(s, d).filter("duration_s > 0"), ["workflow_id"]), "workflow_id"
 )
 O["c4_duration_stats_workflows"] = sql(_stats_sql("dur", "ok_runs WHERE dur > 0", "workflow_id"))
-Q["c4_duration_stats_events"] = lambda s, d: _stats_out(summary.duration_stats(events(s, d), ["event_type"], "value"), "event_type")
+Q["c4_duration_stats_events"] = lambda s, d: _stats_out(summary.duration_stats(events(s, d), ["event_type"], "value", bounded=False), "event_type")
 O["c4_duration_stats_events"] = _stats_sql("value", "events", "event_type")
 
 
 def _c5(s, d):
-    e = quantiles.percentiles(events(s, d), ["event_type"], "value", {"p50": 50, "p95": 95})
+    e = quantiles.percentiles(events(s, d), ["event_type"], "value", {"p50": 50, "p95": 95}, bounded=False)
     return e.select("event_type", volatility_label(F.col("p95") / F.col("p50")).alias("label"))
 
 
