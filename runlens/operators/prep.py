@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from runlens.functions.durations import duration_s, seconds_between
 from runlens.schema import DIAGNOSTICS
 
+# The texts of diagnostics and errors in this module.
+
 
 def with_duration(df: DataFrame) -> DataFrame:
     """Adds ``duration_s`` from ``started_at`` to ``completed_at``; 0 means unusable."""
