@@ -7,15 +7,14 @@ from the one they were folded with are folded again until none is left. That is
 whole series, but for points within rounding of the threshold, as sums are taken in another order.
 """
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.outliers import clamp, clamp_limits
-from runlens.operators.quantiles import below_counts, histogram
+from runlens.operators.quantiles import histogram
 from runlens.operators.rank_test import exact_table, p_of_method, permutation_p, seed_of, test_method, u_statistic
 from runlens.operators.series import PIECE_ROWS, pieces, positions
+from runlens.operators.splits import split_series
 from runlens.session import checkpoint
 
 THRESHOLD = 4.0
@@ -250,77 +249,6 @@ def cusum(
     )
 
 
-SPLIT = "array<struct<idx:bigint,before_sum:double,before_sq:double,rank_sum:double,overlap:double>>"
-
-
-def _percentile(domain: np.ndarray, ends: np.ndarray, p: float) -> float:
-    at = p * (ends[-1] - 1)
-    low = domain[np.searchsorted(ends, int(at), side="right")]
-    high = domain[np.searchsorted(ends, min(int(at) + 1, ends[-1] - 1), side="right")]
-    return low + (at - int(at)) * (high - low)
-
-
-def describe_splits(values, start, idxs, domain, total, base) -> list[dict]:
-    """What each index splits a series into, from one piece and counts per distinct value.
-
-    ``total`` and ``base`` count, per value of ``domain``, the rows of the whole series and those before
-    the piece. ``before_sq`` sums squared distances from the series mean.
-    """
-    ends = np.cumsum(total)
-    n = int(ends[-1])
-    mid_ranks = ends - (total - 1) / 2
-    squares = (domain - (domain @ total) / n) ** 2
-    place = np.searchsorted(domain, values)
-    counts, done, out = base.astype(np.int64), 0, []
-    for idx in idxs:
-        upto = int(idx - start)
-        counts = counts + np.bincount(place[done:upto], minlength=len(domain))
-        done = upto
-        rank_sum = float(mid_ranks @ counts)
-        overlap = 0.0
-        if idx >= 4 and idx < n:
-            before = np.cumsum(counts)
-            q1, q3 = _percentile(domain, before, 0.25), _percentile(domain, before, 0.75)
-            inside = (domain >= q1) & (domain <= q3)
-            overlap = float((total - counts)[inside].sum()) / (n - int(idx))
-        out.append({"idx": int(idx), "before_sum": float(domain @ counts), "before_sq": float(squares @ counts),
-                    "rank_sum": rank_sum, "overlap": overlap})
-    return out
-
-
-def _describe(batches):
-    for batch in batches:
-        rows = [
-            describe_splits(np.asarray(r.values), r.start, r.idxs, np.asarray(r.domain), np.asarray(r.total),
-                            np.asarray(r.base))
-            for r in batch.itertuples(index=False)
-        ]
-        kept = batch.drop(columns=["values", "idxs", "domain", "total", "base", "start"])
-        yield kept.assign(splits=pd.Series(rows, index=batch.index, dtype=object))
-
-
-def _piece_bases(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per (series, piece, value) that lie before the piece, for every value of the series.
-
-    One row per piece and distinct value: durations of whole seconds keep this far below the row count.
-    """
-    own = _own_values(chunks, [*keys, "piece"], "v")
-    counts = own.groupBy(*keys, "piece", "v").agg(F.count(F.lit(1)).alias("n"))
-    span = chunks.groupBy(*keys).agg(F.max("piece").alias("_last"))
-    grid = (
-        counts.select(*keys, "v").distinct()
-        .join(span, keys)
-        .select(*keys, "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("piece"))
-    )
-    earlier = Window.partitionBy(*keys, "v").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        grid.join(counts, [*keys, "piece", "v"], "left")
-        .withColumn("_base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .groupBy(*keys, "piece")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "_base"))), lambda x: x["_base"]).alias("base"))
-    )
-
-
 def shift_report(
     df: DataFrame, keys: list[str], stamp: str, ties: list[str], value: str, row_id: str,
     threshold: float = THRESHOLD, min_segment: int = MIN_SEGMENT, clamp_k: float | None = CLAMP_K,
@@ -329,84 +257,33 @@ def shift_report(
     """Change points with the evidence for them, measured on the raw values of the whole series.
 
     Before is every point ahead of the index, after every point from it on. Mid-ranks are fixed for the
-    series, so U at any index is a prefix sum of them.
+    series, so U at any index is a running sum of them.
     """
     chunks, found = _detect(
         df, keys, stamp, ties, value, row_id, threshold, min_segment, clamp_k, piece_rows
     )
-    place = [*keys, "piece"]
-    hit = found.filter(F.size("hits") > 0).select(*place, "hits")
-    # Distinct values and their counts per series: bounded by the range of whole-second durations.
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n")))
-    totals = checkpoint(
-        histogram(_own_values(chunks.join(hit.select(*keys).distinct(), keys, "left_semi"), keys, value), keys, value)
-        .groupBy(*keys)
-        .agg(pairs.alias("_h"))
-        .select(*keys, F.transform("_h", lambda x: x["v"]).alias("domain"),
-                F.transform("_h", lambda x: x["n"]).alias("total"))
-    )
-    joined = chunks.join(hit, place).join(totals, keys).join(_piece_bases(chunks, keys), place)
-    inputs = joined.select(
-        *keys,
-        "piece",
-        "start",
-        F.slice("raw", F.lit(1), F.col("own")).alias("values"),
-        F.transform("hits", lambda h: h["idx"]).alias("idxs"),
-        "domain",
-        "total",
-        "base",
-    )
-    key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    splits = inputs.mapInPandas(_describe, f"{key_types}, piece bigint, splits {SPLIT}")
-
-    # Detection and split of the same index, with the first ones of the next piece that has any.
-    both = chunks.select(*place, "rows").join(hit, place).join(splits, place)
-    both = both.withColumn("_each", F.arrays_zip("hits", "splits"))
-    following = Window.partitionBy(*keys).orderBy("piece")
-    both = both.withColumn("_next_piece", F.lead(F.element_at("_each", 1)).over(following))
-    each = both.select(*keys, "rows", "_next_piece", "_each", F.posexplode("_each").alias("_i", "_at"))
-    each = each.withColumn(
-        "_next", F.coalesce(F.try_element_at("_each", F.col("_i") + 2), F.col("_next_piece"))
-    ).drop("_each", "_next_piece")
-    whole = totals.select(
-        *keys,
-        F.aggregate(F.zip_with("domain", "total", lambda v, n: v * n), F.lit(0.0), lambda a, x: a + x).alias("_sum"),
-        "domain", "total",
-    )
-    sizes = F.aggregate("total", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    centre = F.col("_sum") / sizes
-    whole = whole.select(
-        *keys, "_sum",
-        F.aggregate(
-            F.zip_with("domain", "total", lambda v, n: (v - centre) * (v - centre) * n), F.lit(0.0), lambda a, x: a + x
-        ).alias("_sq"),
-        centre.alias("_centre"),
-    )
-    values = _own_values(chunks, keys, value)
-    return _evidence(each.join(whole, keys), values, keys, value, min_segment)
+    measured, ranked = split_series(chunks, found, keys)
+    return _evidence(measured, ranked, keys, min_segment)
 
 
-def _evidence(each: DataFrame, values: DataFrame, keys: list[str], value: str, min_segment: int) -> DataFrame:
+def _evidence(each: DataFrame, ranked: DataFrame, keys: list[str], min_segment: int) -> DataFrame:
     spark = each.sparkSession
     idx, rows = F.col("idx"), F.col("rows")
-    split, following = F.col("_at.splits"), F.col("_next.splits")
-    seg_n = F.coalesce(F.col("_next.hits.idx"), rows) - idx
-    seg_sum = F.coalesce(following["before_sum"], F.col("_sum")) - split["before_sum"]
-    seg_sq = F.coalesce(following["before_sq"], F.col("_sq")) - split["before_sq"]
-    offset = seg_sum / seg_n - F.col("_centre")
-    seg_var = F.greatest(seg_sq - seg_n * offset * offset, F.lit(0.0)) / (seg_n - 1)
-    measured = each.withColumn("idx", F.col("_at.hits.idx")).select(
+    seg_n, seg_sum = F.col("seg_n"), F.col("seg_sum")
+    offset = seg_sum / seg_n - F.col("centre")
+    seg_var = F.greatest(F.col("seg_sq") - seg_n * offset * offset, F.lit(0.0)) / (seg_n - 1)
+    measured = each.select(
         *keys,
         "idx",
-        F.col("_at.hits.id").alias("id"),
-        F.col("_at.hits.down").alias("_down"),
-        F.col("_next.hits.down").alias("_next_down"),
+        "id",
+        F.col("down").alias("_down"),
+        F.col("next_down").alias("_next_down"),
         idx.alias("n_before"),
         (rows - idx).alias("n_after"),
-        (split["before_sum"] / idx).alias("before_mean"),
-        ((F.col("_sum") - split["before_sum"]) / (rows - idx)).alias("after_mean"),
-        u_statistic(idx, rows - idx, split["rank_sum"]).alias("u"),
-        split["overlap"].alias("overlap"),
+        (F.col("before_sum") / idx).alias("before_mean"),
+        ((F.col("whole_sum") - F.col("before_sum")) / (rows - idx)).alias("after_mean"),
+        u_statistic(idx, rows - idx, F.col("rank_sum")).alias("u"),
+        "overlap",
         seg_n.alias("post_runs"),
         F.when(seg_sum == 0, 0.0)
         .when(seg_n < 2, 0.0)
@@ -420,8 +297,7 @@ def _evidence(each: DataFrame, values: DataFrame, keys: list[str], value: str, m
         *keys, "idx", F.least(n1, n2).alias("_k"), (n1 + n2).alias("_n"), u.alias("_u"), seed_of(*keys, "idx").alias("_seed"))
     shuffled = F.lit(None).cast("double")
     if not tests.isEmpty():
-        hist = histogram(values.join(tests.select(*keys).distinct(), keys, "left_semi"), keys, value)
-        shares = permutation_p(tests, checkpoint(below_counts(hist, keys, value, bounded=False)), keys, ["idx"])
+        shares = permutation_p(tests, ranked, keys, ["idx"])
         measured, shuffled = measured.join(shares, [*keys, "idx"], "left"), F.col("shuffled_p")
     exact = F.broadcast(exact_table(spark).withColumnsRenamed({"n1": "n_before", "n2": "n_after"}))
     return (
