@@ -30,6 +30,7 @@ from runlens.session import checkpoint
 
 MAX_BITS = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
+LINKS_A_TASK = 250_000
 _SPLIT = 1 << 16  # shingles whose bits are counted at a time
 
 
@@ -122,20 +123,28 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest node ``root`` reachable from every ``node`` of ``edges`` (u, v), u > v."""
+    """Smallest node ``root`` reachable from every ``node`` of ``edges`` (u, v), u > v.
+
+    Links never become more, so their number at the start sets the number of parts they are written in, and up to
+    ``LINKS_A_TASK`` of them the smallest neighbours (at most two a link) are broadcast, not shuffled.
+    """
     edges = checkpoint(edges.select("u", "v").distinct())
+    state = _state(edges)
+    parts, few = 1 + state[0] // LINKS_A_TASK, state[0] <= LINKS_A_TASK
+    of = F.broadcast if few else lambda lows: lows
+    edges = edges.coalesce(parts)
     while True:
-        before = _state(edges)
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: neighbours above a node move to its smallest neighbour (or itself).
         lows = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = checkpoint(large)
+        large = both.filter("v > u").join(of(lows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = checkpoint(large.coalesce(parts))
         # Small star: a node and its neighbours below it move to the smallest of them.
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(moved.unionAll(lows.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        if _state(edges) == before:
+        moved = large.join(of(lows), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = checkpoint(moved.unionAll(lows.select("u", F.col("m").alias("v"))).filter("u != v").distinct().coalesce(parts))
+        before, state = state, _state(edges)
+        if state == before:
             break
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
