@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from runlens.operators import outliers, quantiles, rank_test
 
 
@@ -76,6 +77,20 @@ def test_rank_sum(spark):
     assert found["mixed"]["method"] == "permutation" and 0 < found["mixed"]["p_value"] < 1
 
 
+def test_exact_test_draws_no_shuffles(spark, monkeypatch):
+    rows = [(k, i % 3 == 0, float(i * 7 % n)) for k, n in (("exact", 12), ("permutation", 45), ("normal", 90)) for i in range(n)]
+    rows.append(("none", True, 1.0))
+    df = spark.createDataFrame(rows, "k string, first boolean, v double")
+    whole = {r["k"]: r for r in rank_test.rank_sum_test(df, ["k"], F.col("first"), "v").collect()}
+    monkeypatch.setattr(rank_test, "permutation_p", lambda *_: pytest.fail("shuffles were drawn"))
+    found = {r["k"]: r for r in rank_test.exact_test(df, ["k"], F.col("first"), "v").collect()}
+    for k in whole:
+        assert found[k][:-1] == whole[k][:-1] and found[k]["method"] == k
+        assert found[k]["p_value"] == (whole[k]["p_value"] if k in ("exact", "none") else None)
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").groupBy("o_custkey").count()
+    assert registry.queries()["f4_exact_p"](spark, "/root/testdata/sf0.01").count() == orders.count()
+
+
 def test_exact_table_matches_enumeration():
     table = rank_test._exact_shares().set_index(["n1", "n2", "u_floor"])["exact_p"]
     for n1, n2 in [(1, 1), (3, 3), (2, 6), (5, 4)]:
