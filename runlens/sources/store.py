@@ -101,7 +101,8 @@ def append(spark: SparkSession, store: str, runs: DataFrame, jobs: DataFrame, st
            source: str | None = None, batch: int | None = None) -> int:
     """Adds a batch as a segment of its own and returns the version that has it.
 
-    ``runs``, ``jobs`` and ``steps`` have one row per key. ``totals`` (run_id, total) says how many jobs a run has;
+    ``runs``, ``jobs`` and ``steps`` have one row per key; steps that name their ``run_id`` are filed by it, and else by
+    that of their job. ``totals`` (run_id, total) says how many jobs a run has;
     without it the jobs of a run are all its jobs. ``batch`` numbers the batches of ``source`` upwards: one that is
     stored already is not added again.
     """
@@ -110,17 +111,21 @@ def append(spark: SparkSession, store: str, runs: DataFrame, jobs: DataFrame, st
     if seen(now):
         return now["version"]
     placed = runs.groupBy("run_id").agg(_month(F.min("created_at")).alias("month"))
+    filed = lambda df: df.join(placed, "run_id", "left").withColumn("month", F.coalesce("month", F.lit(UNKNOWN)))
     counted = jobs.groupBy("run_id").agg(F.count("*").alias("_n"))
     if totals is None:
-        whole = counted.select("run_id", F.lit(True).alias("whole"))
+        filed_jobs = filed(jobs.withColumn("whole", F.lit(True)))
     else:
         whole = counted.join(totals, "run_id", "left").select("run_id", F.coalesce(F.col("_n") >= F.col("total"), F.lit(False)).alias("whole"))
-    filed = lambda df: df.join(placed, "run_id", "left").withColumn("month", F.coalesce("month", F.lit(UNKNOWN)))
+        filed_jobs = filed(jobs.join(whole, "run_id"))
+    if "run_id" in steps.columns:
+        filed_steps = filed(steps)
+    else:
+        filed_steps = steps.join(filed_jobs.select("job_id", "run_id", "month"), "job_id")
     loaded = runs.join(counted.select("run_id", F.lit(True).alias("loaded")), "run_id", "left")
     entry = _write_segment(spark, store, {
         "runs": loaded.withColumns({"loaded": F.coalesce("loaded", F.lit(False)), "month": _month(F.col("created_at"))}),
-        "jobs": filed(jobs.join(whole, "run_id")),
-        "steps": filed(steps.join(jobs.select("job_id", "run_id"), "job_id"))})
+        "jobs": filed_jobs, "steps": filed_steps})
 
     def change(now):
         if seen(now) or (entry is None and batch is None):
@@ -145,8 +150,11 @@ def _raw(spark: SparkSession, store: str, name: str, segments: list[dict], month
     return rows.join(F.broadcast(order), "segment")
 
 
-def _merged(rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """What segments say together: a row per run, job and step, with the flags of the segments as one."""
+def _merged(rows: dict[str, DataFrame], refile: bool = False) -> dict[str, DataFrame]:
+    """What segments say together: a row per run, job and step, with the flags of the segments as one.
+
+    ``refile`` sets the month of jobs and steps to that of their run, where it is listed.
+    """
     of_run = Window.partitionBy("run_id")
     since = lambda flag: F.coalesce(F.max(F.when(F.col(flag), F.col("at"))).over(of_run), F.lit(-1))
     done = is_completed()
@@ -157,7 +165,14 @@ def _merged(rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
     newest = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("at")))
     jobs = rows["jobs"].withColumn("_since", since("whole")).filter("at >= _since")
     jobs = jobs.withColumn("_newest", newest).filter("_newest = 1").withColumn("whole", F.col("_since") >= 0).drop("_since", "_newest")
-    steps = rows["steps"].join(jobs.select("job_id", "at"), ["job_id", "at"])
+    steps = rows["steps"]
+    if refile:
+        months = runs.select("run_id", F.col("month").alias("_month"))
+        jobs = jobs.join(months, "run_id", "left").withColumn("month", F.coalesce("_month", "month")).drop("_month")
+        # Steps take the month of their job with the row that they go with: no join by run of their own.
+        steps = steps.drop("month").join(jobs.select("job_id", "at", "month"), ["job_id", "at"])
+    else:
+        steps = steps.join(jobs.select("job_id", "at"), ["job_id", "at"])
     return {"runs": runs, "jobs": jobs, "steps": steps}
 
 
@@ -212,10 +227,8 @@ def compact(spark: SparkSession, store: str, fan: int = FAN) -> int:
     """
     while group := due(version(spark, store)["segments"], fan):
         ids = [s["id"] for s in group]
-        merged = _merged({name: _raw(spark, store, name, group, None) for name in TABLES})
-        months = merged["runs"].select("run_id", F.col("month").alias("_month"))
-        placed = {name: (df if name == "runs" else df.join(months, "run_id", "left").withColumn("month", F.coalesce("_month", "month")).drop("_month"))
-                  .drop("segment", "at") for name, df in merged.items()}
+        merged = _merged({name: _raw(spark, store, name, group, None) for name in TABLES}, refile=True)
+        placed = {name: df.drop("segment", "at") for name, df in merged.items()}
         entry = _write_segment(spark, store, placed)
 
         def change(now, ids=ids, entry=entry, last=group[-1]["at"]):

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.session import checkpoint as written
+from runlens.session import stored
 from runlens.sources import store as log
 from runlens.sources.json_pages import JOB_PAGE, RUN_PAGE, jobs_of_pages, runs_of_pages
 from runlens.sources.store import read_store
@@ -34,9 +34,10 @@ def job_totals(pages: DataFrame) -> DataFrame:
 def save_batch(pages: DataFrame, store: str, source: str | None = None, batch: int | None = None) -> None:
     """Adds some pages to a store. Repeating a batch gives the same tables; with its number it is left out."""
     ended = F.col("completed_at").desc_nulls_last()
-    runs = written(_latest(runs_of_pages(pages), ["run_id"], F.col("run_attempt").desc(), F.col("updated_at").desc_nulls_last()))
+    runs = stored(_latest(runs_of_pages(pages), ["run_id"], F.col("run_attempt").desc(), F.col("updated_at").desc_nulls_last()))
     jobs, steps = jobs_of_pages(pages)
-    jobs, steps = written(_latest(jobs, ["job_id"], ended)), written(_latest(steps, ["job_id", "number"], ended))
+    # Steps are read once, so they are not written ahead; by job, their latest rows and their jobs meet in one shuffle.
+    jobs, steps = stored(_latest(jobs, ["job_id"], ended)), _latest(steps.repartition("job_id"), ["job_id", "number"], ended)
     log.append(pages.sparkSession, store, runs, jobs, steps, job_totals(pages), source, batch)
 
 
