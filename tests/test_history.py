@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from build import T0, job, prepared, run, tables
 from runlens.operators import changes, cost, failures, outliers, prep, runners, stages, steps, summary
+from runlens.plans import analyze as plan
 
 
 def test_preprocess_chain(spark):
@@ -201,3 +202,19 @@ def test_categories(spark):
     assert (found["same", 1], found["gone", 1], found["fast", 1]) == ("minor", "regression", "speedup")
     (r,) = changes.oscillating_summary(changes.categorize(df)).collect()
     assert (r["job"], r["shifts"], r["trend"]) == ("wild", 3, "trending up")
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_shared_inputs_are_written_once(spark):
+    """Analyses read runs and facts as rows, and do not join the tables again."""
+    listed = [run(1, [job("a", 60), job("b", 30, start=50)], attempt=2), run(1, conclusion="failure"), run(2),
+              run(3, [job("a", 10)], conclusion="failure")]
+    runs, jobs, step_rows, names = tables(spark, listed)
+    context, _ = plan.context_of(plan.Tables(runs, jobs.filter("job_id < 100 OR run_id <> 1"), step_rows, names))
+    assert [_joins(x) for x in (context.runs, context.facts)] == [0, 0]
+    assert "Window" not in context.all_runs._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["run_id"]: r["duration_s"] for r in context.runs.collect()} == {1: 80.0, 2: 0.0}
+    assert sorted((r["run_id"], r["job"]) for r in context.facts.collect()) == [(1, "a"), (1, "b")]
