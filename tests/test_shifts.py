@@ -123,3 +123,29 @@ def test_one_busy_second_is_spread_over_tasks(spark):
         own = found[found["k"] == k].sort_values(["ts", "tie"])
         assert own["pos"].tolist() == list(range(n))
     assert positions(rows.limit(0), ["k"], "ts", ["tie"]).count() == 0
+
+
+def test_points_are_reduced_where_they_lie(spark, monkeypatch):
+    """No step of the detection moves the values of pieces through a shuffle, or folds them point by point in an expression."""
+    plans = []
+
+    def seen(write):
+        return lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df)
+
+    for name in ("checkpoint", "stored"):
+        monkeypatch.setattr(shifts, name, seen(getattr(shifts, name)))
+    quiet = {"quiet": [1, 100, 1, 100, 50, *noise(13, 300, 50)]}
+    assert cusum(spark, quiet, piece_rows=16) == {"quiet": brute([float(x) for x in quiet["quiet"]])}
+    assert len(plans) > 4 and not [p for p in plans if "aggregate(" in p and "lambda" in p]
+
+
+def test_pieces_cut_by_partitions(spark):
+    """Partitions that hold a few points of a series each, so that its first pieces are shorter than the baseline."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    few = {k: GROUPS[k] for k in ("jump", "flat start")}
+    try:
+        assert cusum(spark, few) == {k: brute([float(x) for x in data]) for k, data in few.items()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
