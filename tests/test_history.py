@@ -218,3 +218,13 @@ def test_shared_inputs_are_written_once(spark):
     assert "Window" not in context.all_runs._jdf.queryExecution().optimizedPlan().toString()
     assert {r["run_id"]: r["duration_s"] for r in context.runs.collect()} == {1: 80.0, 2: 0.0}
     assert sorted((r["run_id"], r["job"]) for r in context.facts.collect()) == [(1, "a"), (1, "b")]
+
+
+def test_change_points_are_found_once(spark):
+    """Categories read change points several times: they are rows by then, and do not join runs or the evidence again."""
+    runs = [run(i, [job("build", s)]) for i, s in enumerate(wobble(20, 180) + wobble(20, 360))]
+    r, facts, _, workflows = prepared(spark, runs)
+    found = changes.change_points(r, facts, workflows)
+    assert _joins(found) == 0
+    assert _joins(changes.job_series(r, facts)) == 0
+    assert [(x["run_id"], x["severity"], x["workflow"]) for x in found.collect()] == [(20, "critical", "CI")]
