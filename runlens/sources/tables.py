@@ -11,6 +11,7 @@ from runlens.operators.prep import is_completed
 from runlens.schema import JOBS, RUNS, STEPS
 
 TABLES = {"runs": RUNS, "jobs": JOBS, "steps": STEPS}
+JOBS_PER_TASK = 1 << 17
 
 
 def save_tables(runs: DataFrame, jobs: DataFrame, steps: DataFrame, path: str) -> None:
@@ -41,6 +42,18 @@ def with_defaults(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*columns)
 
 
+def by_run(jobs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Jobs dealt out by run, ``JOBS_PER_TASK`` to a task whatever the session's number of partitions.
+
+    What sorts or groups them or their steps by run takes no more memory for a longer history.
+    """
+    return jobs.repartition(tasks or _tasks(jobs), "run_id")
+
+
+def _tasks(*jobs: DataFrame) -> int:
+    return -(-max(1, *[df.count() for df in jobs]) // JOBS_PER_TASK)
+
+
 def upsert_runs(
     existing: tuple[DataFrame, DataFrame, DataFrame], incoming: tuple[DataFrame, DataFrame, DataFrame]
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -72,16 +85,24 @@ def run_details(runs: DataFrame, jobs: DataFrame, steps: DataFrame) -> DataFrame
     """Runs with their jobs by start and those with their steps by number, nested.
 
     Nesting needs a run in one row. The service limits the jobs of a run and the steps of a job, so a row
-    stays small however long the history is.
+    stays small however long the history is. Both tables are grouped by run alone, so nothing more is shuffled where they
+    lie by run (:func:`by_run`) and steps carry their ``run_id``.
     """
-    step = F.struct(*["number", *[c for c in steps.columns if c not in ("number", "job_id")]])
-    of_job = steps.groupBy("job_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    full = jobs.join(of_job, "job_id", "left")
-    job = F.struct(F.col("started_at").alias("_order"), "job_id",
-                   *[c for c in full.columns if c not in ("job_id", "run_id")])
-    of_run = full.groupBy("run_id").agg(F.array_sort(F.collect_list(job)).alias("jobs"))
-    return runs.join(of_run, "run_id", "left").withColumn(
-        "jobs", F.transform("jobs", lambda j: j.dropFields("_order"))
+    if "run_id" not in steps.columns:
+        steps = steps.join(jobs.select("job_id", "run_id").distinct(), "job_id")
+    step = F.struct(*["number", *[c for c in steps.columns if c not in ("number", "job_id", "run_id")]])
+    steps_of_run = steps.groupBy("run_id").agg(F.collect_list(F.struct("job_id", step.alias("step"))).alias("_steps"))
+    job = F.struct(F.col("started_at").alias("_order"), "job_id", *[c for c in jobs.columns if c not in ("job_id", "run_id")])
+    jobs_of_run = jobs.groupBy("run_id").agg(F.array_sort(F.collect_list(job)).alias("jobs"))
+
+    def with_steps(j):
+        own = F.filter("_steps", lambda x: x["job_id"] == j["job_id"])
+        found = F.exists("_steps", lambda x: x["job_id"] == j["job_id"])
+        return j.dropFields("_order").withField("steps", F.when(found, F.array_sort(F.transform(own, lambda x: x["step"]))))
+
+    return (
+        runs.join(jobs_of_run, "run_id", "left").join(steps_of_run, "run_id", "left")
+        .withColumn("jobs", F.transform("jobs", with_steps)).drop("_steps")
     )
 
 

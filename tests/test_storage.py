@@ -186,3 +186,17 @@ def test_job_pages_shuffle_jobs_once(spark):
 
     plan = loading.job_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_details_of_steps_with_their_run_shuffle_nothing_more(spark):
+    steps = [("Build", 20, "success"), ("Checkout", 5, "success")]
+    runs, jobs, flat = tables(spark, [run(1, [job("a", 30, steps=steps), job("b", 10)]), run(2), run(3, [job("c", 10, steps=steps)])])[:3]
+    jobs = store.by_run(jobs)
+    lying = flat.join(jobs.select("job_id", "run_id"), "job_id").repartition(1, "run_id")
+    found = store.run_details(runs, jobs, lying)
+    assert found.select("run_id", "jobs").orderBy("run_id").collect() == store.run_details(runs, jobs, flat).select("run_id", "jobs").orderBy("run_id").collect()
+    listed = {r["run_id"]: r["jobs"] and [(j["name"], j["steps"] and [s["number"] for s in j["steps"]]) for j in r["jobs"]] for r in found.collect()}
+    assert listed[2] is None and listed[3] == [("c", [1, 2])] and dict(listed[1]) == {"a": [1, 2], "b": None}
+    plan = store.run_details(runs, jobs, jobs.select("run_id", "job_id", F.lit(1).alias("number")))._jdf.queryExecution().executedPlan().toString()
+    # Jobs are dealt out by run, once for themselves and once for their steps; only runs are shuffled to join them.
+    assert plan.count("Exchange hashpartitioning") <= 3

@@ -8,6 +8,7 @@ from runlens.functions import durations as dur
 from runlens.functions import labels as lab
 from runlens.operators import prep
 from runlens.schema import RUNS
+from runlens.session import stored
 from runlens.sources import sample_history as history
 from runlens.sources import tables
 from workloads.base import r4, sql, stamp
@@ -74,7 +75,8 @@ WHERE workflow_id = 2 AND created_at >= TIMESTAMP '1999-01-01' AND status = 'com
 
 
 def _a9(s, d):
-    detail = tables.run_details(history.runs(s, d), history.jobs(s, d), history.steps(s, d))
+    jobs = tables.by_run(stored(history.jobs(s, d)))
+    detail = tables.run_details(history.runs(s, d), jobs, history.steps_of_jobs(jobs, "run_id"))
     jobs = F.col("jobs")
     return detail.select(
         "run_id",
