@@ -57,17 +57,22 @@ def _tasks(*jobs: DataFrame) -> int:
 def upsert_runs(
     existing: tuple[DataFrame, DataFrame, DataFrame], incoming: tuple[DataFrame, DataFrame, DataFrame]
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs, jobs and steps after saving ``incoming``: a re-saved run replaces its row and all its children."""
+    """Runs, jobs and steps after saving ``incoming``: a re-saved run replaces its row and all its children.
+
+    Jobs are counted first: joins by key sort both sides, so they get a task for each ``JOBS_PER_TASK`` jobs or their steps.
+    """
     runs, jobs, steps = existing
     new_runs, new_jobs, new_steps = incoming
-    ids = new_runs.select("run_id").distinct()
-    kept_jobs = jobs.join(ids, "run_id", "left_anti")
+    tasks = _tasks(jobs, new_jobs)
+    ids, new_ids = new_runs.select("run_id"), new_jobs.select("job_id")
+    of_runs = by_run(jobs, tasks)
+    kept_jobs = of_runs.join(ids, "run_id", "left_anti")
     # A step goes with its job, and with any job of the same id saved anew.
-    gone = jobs.join(ids, "run_id", "left_semi").select("job_id").unionByName(new_jobs.select("job_id")).distinct()
+    gone = of_runs.join(ids, "run_id", "left_semi").select("job_id").unionByName(new_ids)
     return (
         runs.join(ids, "run_id", "left_anti").unionByName(new_runs),
-        kept_jobs.join(new_jobs.select("job_id").distinct(), "job_id", "left_anti").unionByName(new_jobs),
-        steps.join(gone, "job_id", "left_anti").unionByName(new_steps),
+        kept_jobs.repartition(tasks, "job_id").join(new_ids, "job_id", "left_anti").unionByName(new_jobs),
+        steps.repartition(tasks, "job_id").join(gone, "job_id", "left_anti").unionByName(new_steps),
     )
 
 

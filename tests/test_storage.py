@@ -188,6 +188,23 @@ def test_job_pages_shuffle_jobs_once(spark):
     assert plan.count("Exchange hashpartitioning") <= 2
 
 
+def test_tasks_of_keyed_joins_grow_with_the_jobs(spark, monkeypatch):
+    monkeypatch.setattr(store, "JOBS_PER_TASK", 10)
+    steps = [("Checkout", 5, "success")]
+    old = tables(spark, [run(i, [job(f"old {i}", 30, steps=steps)]) for i in range(1, 81)])[:3]
+    new = tables(spark, [run(1, [job("new", 30, steps=steps)])])[:3]
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        _, jobs, steps = store.upsert_runs(old, new)
+        # 80 jobs in 8 parts, of which hashing may leave some empty.
+        for saved in (jobs, steps):
+            parts = saved.groupBy(F.spark_partition_id()).count().collect()
+            assert sum(p["count"] for p in parts) == 80 and len(parts) >= 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def test_details_of_steps_with_their_run_shuffle_nothing_more(spark):
     steps = [("Build", 20, "success"), ("Checkout", 5, "success")]
     runs, jobs, flat = tables(spark, [run(1, [job("a", 30, steps=steps), job("b", 10)]), run(2), run(3, [job("c", 10, steps=steps)])])[:3]

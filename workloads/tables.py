@@ -39,10 +39,11 @@ def _a7(s, d):
     runs = history.attempts(s, d)
     first = runs.filter("run_attempt = 1")
     later = runs.filter("run_attempt > 1")
-    jobs, steps = history.jobs(s, d), history.steps(s, d)
+    jobs = stored(history.jobs(s, d))
+    steps = history.steps_of_jobs(jobs)
     old_jobs = jobs.withColumn("name", F.concat(F.lit("old "), F.col("name")))
-    new_jobs = jobs.join(later.select("run_id"), "run_id", "left_semi")
-    new_steps = steps.join(new_jobs.select("job_id"), "job_id", "left_semi")
+    new_jobs = stored(jobs.join(later.select("run_id"), "run_id", "left_semi"))
+    new_steps = history.steps_of_jobs(new_jobs)
     old_steps = steps.withColumn("name", F.concat(F.lit("old "), F.col("name")))
     saved = tables.upsert_runs((first, old_jobs, old_steps), (later, new_jobs, new_steps))
     counts = [
