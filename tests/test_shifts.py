@@ -4,9 +4,10 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runlens.operators import shifts
-from runlens.operators.series import positions
+from runlens.operators.series import positions, sort_key
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -150,3 +151,21 @@ def test_pieces_cut_by_partitions(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_sort_key_tells_points_apart_and_rises_with_the_stamp(spark, kind):
+    # Around a change to summer time and one back, before 1970, far ahead and without a stamp.
+    texts = [None, "1960-01-01 00:00:00", "1969-12-31 23:59:59", "1970-01-01 00:00:00", "2026-03-29 01:59:00", "2026-03-29 02:30:00",
+             "2026-03-29 03:10:00", "2026-10-25 01:59:00", "2026-10-25 02:30:00", "2026-10-25 03:10:00", "2107-01-01 00:00:00", "2300-01-01 00:00:00"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        df = spark.createDataFrame([(k, t) for k in ("a", "b") for t in texts], "k string, t string").withColumn("t", F.col("t").cast(kind))
+        rows = df.select("k", "t", sort_key(df, ["k"], "t").alias("s")).orderBy("k", "t").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    for k in ("a", "b"):
+        numbers = [r["s"] for r in rows if r["k"] == k]
+        assert numbers == sorted(numbers) and len({n >> 32 for n in numbers}) == 1 and len(set(numbers)) >= 8 - (kind == "timestamp")
+    assert len({r["s"] >> 32 for r in rows}) == 2
