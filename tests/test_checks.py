@@ -1,5 +1,7 @@
 """Registered queries against their SQL on the smallest tables."""
 
+import ast
+import inspect
 import math
 from pathlib import Path
 
@@ -41,3 +43,15 @@ def test_every_query_has_a_check_or_cannot():
     own = {name for name in registry.queries() if not (name.startswith("op") or name == "pipeline")}
     assert own - set(registry.oracle_sql()) == {"h1_analyze"}
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_job_positions_match_sql(spark):
+    test_query_matches_sql(spark, "f1_job_series")
+
+
+@pytest.mark.parametrize("module", registry._MODULES, ids=lambda m: m.__name__)
+def test_names_taken_from_other_modules_exist(module):
+    """Queries look functions up when they are called, so a moved one would fail only there."""
+    asked = [n for n in ast.walk(ast.parse(inspect.getsource(module))) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name)]
+    own = [(getattr(module, n.value.id, None), n.attr) for n in asked]
+    assert [f"{m.__name__}.{name}" for m, name in own if inspect.ismodule(m) and not hasattr(m, name)] == []
