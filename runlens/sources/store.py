@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.operators.prep import is_completed
+from runlens.session import stored
 from runlens.sources import files
 from runlens.sources.tables import TABLES, with_defaults
 
 FAN = 8
 UNKNOWN = "unknown"
+SPREAD = 256  # parts for jobs whose run is not in their batch
 _OWN = {
     "runs": [T.StructField("loaded", T.BooleanType())],
     "jobs": [T.StructField("whole", T.BooleanType())],
@@ -77,17 +79,29 @@ def _month(stamp: Column) -> Column:
     return F.coalesce(F.date_format(stamp, "yyyy-MM"), F.lit(UNKNOWN))
 
 
-def _write_segment(spark: SparkSession, store: str, tables: dict[str, DataFrame]) -> dict[str, Any] | None:
-    """Writes tables that have their ``month``; gives the segment's entry, or None if all are empty."""
-    entry = {"id": uuid4().hex, "rows": {}, "runs": None, "months": None}
+def _dealt(df: DataFrame) -> DataFrame:
+    return df.repartitionByRange("month", "run_id")
+
+
+def _write_segment(spark: SparkSession, store: str, tables: dict[str, DataFrame | Callable], tied: bool) -> dict[str, Any] | None:
+    """Writes tables that have their ``month`` as they are dealt out; gives the segment's entry, or None if all are empty.
+
+    A function makes a table from the folders of those written before it. ``tied`` says that steps have the run and month
+    of their job, and that no step is without one.
+    """
+    entry = {"id": uuid4().hex, "rows": {}, "runs": None, "months": None, "tied": tied}
     runs, months = [], set()
+    folder = lambda name: f"{store}/{name}/segment={entry['id']}"
     for name, df in tables.items():
-        path = f"{store}/{name}/segment={entry['id']}"
-        df.repartitionByRange("month", "run_id").sortWithinPartitions("month", "run_id").write.partitionBy("month").parquet(path)
+        path = folder(name)
+        df = df(folder) if callable(df) else df
+        df.sortWithinPartitions("month", "run_id").write.partitionBy("month").parquet(path)
         written = spark.read.schema("run_id bigint, month string").parquet(path)
-        seen = written.agg(F.count("*").alias("n"), F.min("run_id").alias("low"), F.max("run_id").alias("high"),
-                           F.min("month").alias("first"), F.max(F.when(F.col("month") != UNKNOWN, F.col("month"))).alias("last"),
-                           F.max((F.col("month") == UNKNOWN).cast("int")).alias("unknown")).first()
+        # Months are compared once each, not row by row.
+        of_month = written.groupBy("month").agg(F.count("*").alias("n"), F.min("run_id").alias("low"), F.max("run_id").alias("high"))
+        seen = of_month.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+                            F.min("month").alias("first"), F.max(F.when(F.col("month") != UNKNOWN, F.col("month"))).alias("last"),
+                            F.max((F.col("month") == UNKNOWN).cast("int")).alias("unknown")).first()
         entry["rows"][name] = seen["n"]
         if seen["n"]:
             runs += [seen["low"], seen["high"]]
@@ -97,12 +111,13 @@ def _write_segment(spark: SparkSession, store: str, tables: dict[str, DataFrame]
     return entry if any(entry["rows"].values()) else None
 
 
-def append(spark: SparkSession, store: str, runs: DataFrame, jobs: DataFrame, steps: DataFrame, totals: DataFrame | None = None,
-           source: str | None = None, batch: int | None = None) -> int:
+def append(spark: SparkSession, store: str, runs: DataFrame, jobs: DataFrame, steps: DataFrame | None = None,
+           totals: DataFrame | None = None, source: str | None = None, batch: int | None = None) -> int:
     """Adds a batch as a segment of its own and returns the version that has it.
 
     ``runs``, ``jobs`` and ``steps`` have one row per key; steps that name their ``run_id`` are filed by it, and else by
-    that of their job. ``totals`` (run_id, total) says how many jobs a run has;
+    that of their job. Without ``steps`` they lie in the jobs, as an array ``steps``, and are dealt
+    out with them. ``totals`` (run_id, total) says how many jobs a run has;
     without it the jobs of a run are all its jobs. ``batch`` numbers the batches of ``source`` upwards: one that is
     stored already is not added again.
     """
@@ -111,6 +126,11 @@ def append(spark: SparkSession, store: str, runs: DataFrame, jobs: DataFrame, st
     if seen(now):
         return now["version"]
     placed = runs.groupBy("run_id").agg(_month(F.min("created_at")).alias("month"))
+    if steps is None:
+        # Bounds are drawn from the runs alone, and jobs go where their run does: to as many parts as a shuffle has, since
+        # by what runs take up themselves they would be too few.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = stored(placed.repartitionByRange(parts, "month", "run_id").withColumn("part", F.spark_partition_id()))
     filed = lambda df: df.join(placed, "run_id", "left").withColumn("month", F.coalesce("month", F.lit(UNKNOWN)))
     counted = jobs.groupBy("run_id").agg(F.count("*").alias("_n"))
     if totals is None:
@@ -118,14 +138,23 @@ def append(spark: SparkSession, store: str, runs: DataFrame, jobs: DataFrame, st
     else:
         whole = counted.join(totals, "run_id", "left").select("run_id", F.coalesce(F.col("_n") >= F.col("total"), F.lit(False)).alias("whole"))
         filed_jobs = filed(jobs.join(whole, "run_id"))
-    if "run_id" in steps.columns:
-        filed_steps = filed(steps)
+    # Jobs are written first, so that runs read which of them have jobs from there.
+    loaded = lambda folder: runs.join(
+        spark.read.schema("run_id bigint").parquet(folder("jobs")).distinct().withColumn("loaded", F.lit(True)), "run_id", "left")
+    listed = lambda folder: _dealt(loaded(folder).withColumns({
+        "loaded": F.coalesce("loaded", F.lit(False)), "month": _month(F.col("created_at"))}))
+    tied = steps is None or "run_id" not in steps.columns
+    if steps is None:
+        # Dealt out with their steps in the row. Spark would filter empty arrays ahead, where it has to derive them once more.
+        to = F.coalesce("part", F.pmod(F.hash("run_id"), F.lit(SPREAD)))
+        own = filed_jobs.select("run_id", "job_id", "month", "part", "steps").repartition(to).select(
+            "run_id", "job_id", "month", F.explode_outer("steps").alias("step"))
+        out = {"jobs": filed_jobs.drop("steps").repartition(to).drop("part"),
+               "steps": own.filter("step IS NOT NULL").select("run_id", "job_id", "month", "step.*")}
     else:
-        filed_steps = steps.join(filed_jobs.select("job_id", "run_id", "month"), "job_id")
-    loaded = runs.join(counted.select("run_id", F.lit(True).alias("loaded")), "run_id", "left")
-    entry = _write_segment(spark, store, {
-        "runs": loaded.withColumns({"loaded": F.coalesce("loaded", F.lit(False)), "month": _month(F.col("created_at"))}),
-        "jobs": filed_jobs, "steps": filed_steps})
+        filed_steps = steps.join(filed_jobs.select("job_id", "run_id", "month"), "job_id") if tied else filed(steps)
+        out = {"jobs": _dealt(filed_jobs), "steps": _dealt(filed_steps)}
+    entry = _write_segment(spark, store, {**out, "runs": listed}, tied)
 
     def change(now):
         if seen(now) or (entry is None and batch is None):
@@ -145,9 +174,9 @@ def _raw(spark: SparkSession, store: str, name: str, segments: list[dict], month
     rows = spark.read.schema(schema).option("basePath", f"{store}/{name}").parquet(*[f"{store}/{name}/segment={s['id']}" for s in filled])
     if months:
         rows = rows.filter(F.col("month").between(*months) | (F.col("month") == UNKNOWN))
-    # A row per segment; compaction keeps them few.
-    order = spark.createDataFrame([(s["id"], s["at"]) for s in filled], "segment string, at bigint")
-    return rows.join(F.broadcast(order), "segment")
+    # An entry per segment; compaction keeps them few.
+    order = F.create_map(*[F.lit(x) for s in filled for x in (s["id"], s["at"])])
+    return rows.withColumn("at", order[F.col("segment")].cast("bigint"))
 
 
 def _merged(rows: dict[str, DataFrame], refile: bool = False) -> dict[str, DataFrame]:
@@ -167,15 +196,34 @@ def _merged(rows: dict[str, DataFrame], refile: bool = False) -> dict[str, DataF
     jobs = jobs.withColumn("_newest", newest).filter("_newest = 1").withColumn("whole", F.col("_since") >= 0).drop("_since", "_newest")
     steps = rows["steps"]
     if refile:
+        runs = stored(runs)
         months = runs.select("run_id", F.col("month").alias("_month"))
-        jobs = jobs.join(months, "run_id", "left").withColumn("month", F.coalesce("_month", "month")).drop("_month")
-        # Steps take the month of their job with the row that they go with: no join by run of their own.
-        steps = steps.drop("month").join(jobs.select("job_id", "at", "month"), ["job_id", "at"])
+        jobs = stored(jobs.join(months, "run_id", "left").withColumn("month", F.coalesce("_month", "month")).drop("_month"))
+        # Steps take the run and month of their job with the row that they go with: no join by run of their own.
+        steps = steps.drop("run_id", "month").join(jobs.select("job_id", "at", "run_id", "month"), ["job_id", "at"])
     else:
         steps = steps.join(jobs.select("job_id", "at"), ["job_id", "at"])
     return {"runs": runs, "jobs": jobs, "steps": steps}
 
 
+def _shared_runs(rows: dict[str, DataFrame]) -> DataFrame:
+    """Runs of which several segments speak, or that have a job of which several rows speak."""
+    said = rows["runs"].select("run_id", "at", F.lit(1).alias("row")).unionAll(rows["jobs"].select("run_id", "at", F.lit(0)))
+    runs = said.groupBy("run_id").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.sum("row").alias("n"))
+    jobs = stored(rows["jobs"].groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("job_id"))
+    moved = rows["jobs"].select("job_id", "run_id").join(jobs, "job_id", "left_semi").select("run_id")
+    return stored(runs.filter("low < high OR n > 1").select("run_id").unionAll(moved).distinct())
+
+
+def _merged_apart(rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """As ``_merged`` with ``refile``, of segments whose steps are tied to their jobs: what one segment alone says stays as it is."""
+    shared = _shared_runs(rows)
+    if shared.isEmpty():
+        return rows
+    merged = _merged({name: df.join(shared, "run_id", "left_semi") for name, df in rows.items()}, refile=True)
+    return {name: df.join(shared, "run_id", "left_anti").unionByName(merged[name]) for name, df in rows.items()}
+
+
 def read_store(spark: SparkSession, store: str, since: dt.datetime | None = None, until: dt.datetime | None = None,
                number: int | None = None) -> dict[str, DataFrame]:
     """The tables of a version (the newest by default), of all runs or of those created in a period.
@@ -227,9 +275,9 @@ def compact(spark: SparkSession, store: str, fan: int = FAN) -> int:
     """
     while group := due(version(spark, store)["segments"], fan):
         ids = [s["id"] for s in group]
-        merged = _merged({name: _raw(spark, store, name, group, None) for name in TABLES}, refile=True)
-        placed = {name: df.drop("segment", "at") for name, df in merged.items()}
-        entry = _write_segment(spark, store, placed)
+        rows = {name: _raw(spark, store, name, group, None) for name in TABLES}
+        merged = _merged_apart(rows) if all(s.get("tied") for s in group) else _merged(rows, refile=True)
+        entry = _write_segment(spark, store, {name: _dealt(df.drop("segment", "at")) for name, df in merged.items()}, tied=True)
 
         def change(now, ids=ids, entry=entry, last=group[-1]["at"]):
             places = [i for i, s in enumerate(now["segments"]) if s["id"] in ids]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from build import T0, job, run, tables
-from runlens.sources import files, store
+from runlens.sources import files, sample_history, store
 from runlens.streaming import ingest
 
 STEPS = [("Checkout", 5, "success"), ("Build", 20, "success")]
@@ -151,6 +151,46 @@ def test_jobs_before_their_run_are_filed_by_compaction(spark, tmp_path):
     assert not one["unknown"] and period() == [1, 1, 2]
 
 
+def test_steps_in_their_jobs_are_stored_as_steps_apart(spark, tmp_path):
+    r, j, s = batch_of(spark, [run(i, [job("a", 60, steps=STEPS), job("b", 5)], created=month(i % 3)) for i in range(6)] + [run(7)])
+    r = r.filter("run_id <> 2")
+    steps = s.groupBy("job_id").agg(F.collect_list(F.struct(*[c for c in s.columns if c != "job_id"])).alias("steps"))
+    within = j.join(steps, "job_id", "left").withColumn("steps", F.when(F.col("name") == "a", F.col("steps")).otherwise(F.array()))
+    store.append(spark, f"{tmp_path}/apart", r, j, s)
+    store.append(spark, f"{tmp_path}/within", r, within)
+    apart, within = (store.version(spark, f"{tmp_path}/{x}")["segments"][0] for x in ("apart", "within"))
+    assert [apart[k] for k in ("rows", "runs", "months", "unknown")] == [within[k] for k in ("rows", "runs", "months", "unknown")]
+    assert within["rows"] == {"runs": 6, "jobs": 12, "steps": 12} and within["unknown"]
+    assert rows(store.read_store(spark, f"{tmp_path}/apart")) == rows(store.read_store(spark, f"{tmp_path}/within"))
+
+
+def test_compaction_merges_only_what_several_segments_say(spark, tmp_path, monkeypatch):
+    """Rows of runs of which one segment alone speaks are rewritten without windows or joins."""
+    merged, seen = store._merged, []
+
+    def spy(rows, refile=False):
+        if refile:
+            seen.append({name: sorted(r["run_id"] for r in df.collect()) for name, df in rows.items()})
+        return merged(rows, refile)
+
+    monkeypatch.setattr(store, "_merged", spy)
+    for path, last in ((f"{tmp_path}/shared", 2), (f"{tmp_path}/apart", 3)):
+        store.append(spark, path, *batch_of(spark, [run(i, [job("a", 5, steps=STEPS)], created=month(i)) for i in (1, 2)]))
+        store.append(spark, path, *batch_of(spark, [run(i, [job("a", 9, steps=STEPS)], created=month(i)) for i in (last, 4)]))
+        before = rows(store.read_store(spark, path))
+        store.compact(spark, path, fan=2)
+        assert len(store.version(spark, path)["segments"]) == 1
+        assert rows(store.read_store(spark, path)) == before
+    assert seen == [{"runs": [2, 2], "jobs": [2, 2], "steps": [2] * 4}]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the test tables")
+def test_steps_are_derived_once(spark):
+    """Spark would filter jobs by the size of their array of steps, and derive it for that."""
+    plan = sample_history.steps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(array" not in plan
+
+
 @pytest.mark.parametrize("batches", [400])
 def test_merges_rewrite_a_row_once_a_size(batches):
     """Sizes only: how often rows are rewritten, and how many segments are left."""
